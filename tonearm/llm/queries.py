@@ -42,6 +42,42 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op4_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import neighbours
+
+    return neighbours(_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import classify
+
+    return classify(_table(spark, sf_dir, "documents"))
+
+
+def op6_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sketch import with_edits
+
+    return with_edits(_table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .setjoin import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan
+
+    return digest(scan(_table(spark, sf_dir, "documents")))
+
+
+def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
