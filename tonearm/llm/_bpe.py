@@ -10,6 +10,7 @@ Texts with white space beyond space, tab and line ends go to the library whole.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 CACHE_CHUNKS = 600_000
+JOINT = 64  # chunks in one string
 _ODD = re.compile(r"[^\S \n\r\t]")
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 13, 32]] = True
@@ -63,6 +65,73 @@ def hashed_spans(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.n
     return mixed(np.add.reduceat(h, starts) + lens.astype(np.uint64))
 
 
+class ChunkCache:
+    """Ids of chunks, learnt once while they stay in the cache; subclasses cut texts and encode chunks."""
+
+    def __init__(self, dtype):
+        self.dtype = dtype
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.pool, self.pool_n = np.zeros(1 << 20, dtype=self.dtype), 0
+        self.first, self.many = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+
+    def _heads(self, data: np.ndarray, head: np.ndarray) -> None:
+        """Marks where chunks start, beside the first byte of every text."""
+        raise NotImplementedError
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of chunks end to end, how many each has, and the order in which they come."""
+        raise NotImplementedError
+
+    def _slots(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """The cache slot of each key, whose chunk is data[starts : starts + lens]."""
+        if len(self.slot) + len(keys) > max(CACHE_CHUNKS, 2 * len(keys)):
+            self._clear()
+        names = keys.tolist()
+        got = np.fromiter(map(self.slot.get, names, itertools.repeat(-1)), dtype=np.int64, count=len(names))
+        new = np.flatnonzero(got < 0)
+        if len(new):
+            ids, many, order = self._learn(data, starts[new], lens[new])
+            new = new[order]
+            n, k = len(self.slot), len(new)
+            while self.pool_n + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            while n + k > len(self.first):
+                self.first, self.many = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.many))
+            self.pool[self.pool_n : self.pool_n + len(ids)] = ids
+            self.many[n : n + k] = many
+            self.first[n : n + k] = self.pool_n + np.cumsum(many) - many
+            self.pool_n += len(ids)
+            got[new] = np.arange(n, n + k)
+            self.slot.update(zip(keys[new].tolist(), range(n, n + k)))
+        return got
+
+    def encode_bytes(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of adjoining UTF-8 texts as one array, and where each text's ids end."""
+        if not len(data):
+            return np.zeros(0, dtype=self.dtype), np.zeros(len(ends) - 1, dtype=np.int64)
+        head = np.zeros(len(data), dtype=bool)
+        self._heads(data, head)
+        head[ends[:-1][np.diff(ends) > 0]] = True
+        starts = np.flatnonzero(head)
+        lens = np.diff(starts, append=len(data))
+        keys, where, back = np.unique(hashed_spans(data, starts, lens), return_index=True, return_inverse=True)
+        slots = self._slots(keys, data, starts[where], lens[where])[back]
+        many = self.many[slots]
+        total = np.cumsum(many)
+        flat = self.pool[np.repeat(self.first[slots] - (total - many), many) + np.arange(total[-1])]
+        return flat, np.concatenate([[0], total])[np.searchsorted(starts, ends[1:])]
+
+
+def text_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts end to end in UTF-8, and where each one ends (from 0)."""
+    arr = pa.array(texts, pa.large_string())
+    ends = np.frombuffer(arr.buffers()[1], dtype=np.int64, count=len(texts) + 1)
+    return (np.frombuffer(arr.buffers()[2], dtype=np.uint8, count=int(ends[-1])) if ends[-1] else np.zeros(0, dtype=np.uint8)), ends
+
+
 def encoder(path: str) -> "ChunkEncoder":
     """One encoder for each Python worker and vocabulary file."""
     if path not in _ENCODERS:
@@ -70,95 +139,72 @@ def encoder(path: str) -> "ChunkEncoder":
     return _ENCODERS[path]
 
 
-class ChunkEncoder:
+class ChunkEncoder(ChunkCache):
     """``encode(texts)``: ids of all texts as one uint16 array (uint32 for larger vocabularies), and where each text ends."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.lib.model._resize_cache(0)
         vocab = self.lib.get_vocab()
-        self.leads = "\u0120" in vocab  # byte-level: a space shows as this letter
+        self.leads = not self.lib.model.end_of_word_suffix  # byte-level: a space shows as U+0120
+        self.plain = self.lib
+        if not self.leads:  # for lower-case words of letters: the same model without normaliser and word pattern
+            self.plain = Tokenizer.from_file(path)
+            self.plain.model._resize_cache(0)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.edge = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.edge[[i for w, i in vocab.items() if (w[0] in "\u0120\u010a\u0109\u010d" if self.leads else w.endswith("</w>"))]] = True
-        self.dtype = np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32
-        self._clear()
+        super().__init__(np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32)
 
-    def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.pool, self.pool_n = np.zeros(1 << 20, dtype=self.dtype), 0
-        self.first, self.many = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+    def _heads(self, data: np.ndarray, head: np.ndarray) -> None:
+        ws = _WS[data]
+        head[1:] = ws[1:] > ws[:-1]
+        head[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]
 
     def _alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.lib.encode_batch_fast(chunks, add_special_tokens=False)]
         return np.array([i for x in ids for i in x], dtype=self.dtype), np.array([len(x) for x in ids], dtype=np.int64)
 
-    def _joint(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks of which the ids show where one ends: by its first id (byte-level) or its last (word ends)."""
-        joined = ["".join(chunks[i : i + 64]) for i in range(0, len(chunks), 64)]
-        flat = np.array([i for e in self.lib.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], dtype=self.dtype)
+    def _joint(self, data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Adjoining chunks of which the ids show where one ends: by its first id (byte-level) or its last (word ends)."""
+        raw, cut = data.tobytes(), np.append(0, np.cumsum(lens))
+        ends = cut[np.minimum(np.arange(0, len(lens) + JOINT, JOINT), len(lens))].tolist()
+        joined = [raw[x:y].decode() for x, y in zip(ends, ends[1:])]
+        flat = np.array([i for e in self.plain.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], dtype=self.dtype)
         at = np.flatnonzero(self.edge[flat])
-        if len(at) != len(chunks):
-            return self._alone(chunks)
+        if len(at) != len(lens):
+            cut = cut.tolist()
+            return self._alone([raw[x:y].decode() for x, y in zip(cut, cut[1:])])
         return flat, np.diff(at, append=len(flat)) if self.leads else np.diff(at, prepend=-1)
 
-    def _slots(self, keys: list[int], chunk) -> np.ndarray:
-        """The cache slot of each key; ``chunk(i)`` is the text of keys[i]."""
-        if len(self.slot) + len(keys) > max(CACHE_CHUNKS, 2 * len(keys)):
-            self._clear()
-        got = list(map(self.slot.get, keys))
-        new = [i for i, x in enumerate(got) if x is None]
-        if new:
-            joint, rest, lone, more = [], [], [], []
-            for i in new:
-                c = chunk(i)
-                if c[0] in " \n\r\t" and len(c) > 1 and (c[1] not in " \n\r\t" if self.leads else c[1:].isalpha()):
-                    joint.append(c)
-                    rest.append(i)
-                else:
-                    lone.append(c)
-                    more.append(i)
-            (a, m), (b, k) = self._joint(joint), self._alone(lone)
-            ids, many, new = np.concatenate([a, b]), np.concatenate([m, k]), rest + more
-            n, k = len(self.slot), len(new)
-            while self.pool_n + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while n + k > len(self.first):
-                self.first, self.many = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.many))
-            self.pool[self.pool_n : self.pool_n + len(ids)] = ids
-            self.many[n : n + k] = many
-            self.first[n : n + k] = self.pool_n + np.cumsum(many) - many
-            self.pool_n += len(ids)
-            for j, i in enumerate(new, n):
-                self.slot[keys[i]] = got[i] = j
-        return np.array(got, dtype=np.int64)
+    def _learn(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of chunks end to end, how many each has, and the order in which they come."""
+        at = np.cumsum(lens) - lens
+        part = data[np.repeat(starts - at, lens) + np.arange(int(lens.sum()))]
+        head = _WS[part[at]] & (lens > 1)
+        if self.leads:
+            good = head & ~_WS[part[np.minimum(at + 1, len(part) - 1)]]
+        else:  # ASCII letters and those of U+00C0-00FF only; they are lower-cased here
+            after = np.append(False, part[:-1] == 0xC3)
+            letter = _LETTER[part] | (part == 0xC3) | after & (part != 0x97) & (part != 0xB7)
+            part = part + (32 * ((part >= 65) & (part <= 90) | after & (part <= 0x9E))).astype(np.uint8)
+            part[at[head]] = 32
+            letter[at] = True
+            good = head & np.logical_and.reduceat(letter, at)
+        mine = np.repeat(good, lens)
+        a, m = self._joint(part[mine], lens[good]) if good.any() else self._alone([])
+        rest = np.flatnonzero(~good)
+        b, k = self._alone([data[x:y].tobytes().decode() for x, y in zip(starts[rest].tolist(), (starts + lens)[rest].tolist())])
+        return np.concatenate([a, b]), np.concatenate([m, k]), np.concatenate([np.flatnonzero(good), rest])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         odd = {i: np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype=self.dtype) for i, t in enumerate(texts) if _ODD.search(t)}
-        arr = pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string())
-        ends = np.frombuffer(arr.buffers()[1], dtype=np.int64, count=len(texts) + 1)
-        if ends[-1] == 0:
-            flat, stops = np.zeros(0, dtype=self.dtype), np.zeros(len(texts), dtype=np.int64)
-        else:
-            data = np.frombuffer(arr.buffers()[2], dtype=np.uint8, count=int(ends[-1]))
-            ws = _WS[data]
-            head = np.empty(len(data), dtype=bool)
-            head[0] = True
-            np.greater(ws[1:], ws[:-1], out=head[1:])
-            head[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]
-            head[ends[:-1][np.diff(ends) > 0]] = True
-            starts = np.flatnonzero(head)
-            lens = np.diff(starts, append=len(data))
-            keys, where, back = np.unique(hashed_spans(data, starts, lens), return_index=True, return_inverse=True)
-            raw, lo, hi = data.tobytes(), starts[where].tolist(), (starts[where] + lens[where]).tolist()
-            slots = self._slots(keys.tolist(), lambda i: raw[lo[i] : hi[i]].decode())[back]
-            many = self.many[slots]
-            total = np.cumsum(many)
-            flat = self.pool[np.repeat(self.first[slots] - (total - many), many) + np.arange(total[-1])]
-            stops = np.concatenate([[0], total])[np.searchsorted(starts, ends[1:])]
+        flat, stops = self.encode_bytes(*text_bytes(["" if i in odd else t for i, t in enumerate(texts)]))
         if odd:
             parts = np.split(flat, stops[:-1])
             for i, x in odd.items():

@@ -8,9 +8,8 @@ without words has none.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 
-from ._bpe import hashed_spans, mixed
+from ._bpe import hashed_spans, mixed, text_bytes
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[32, 9, 10, 11, 12, 13]] = True
@@ -18,14 +17,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def text_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts end to end in UTF-8, and where each one ends (from 0)."""
-    arr = pa.array(texts, pa.large_string())
-    ends = np.frombuffer(arr.buffers()[1], dtype=np.int64, count=len(texts) + 1)
-    buf = arr.buffers()[2]
-    return (np.frombuffer(buf, dtype=np.uint8, count=int(ends[-1])) if ends[-1] else np.zeros(0, dtype=np.uint8)), ends
-
-
 def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and the number of words of each text."""
     inside = ~_WS[data]

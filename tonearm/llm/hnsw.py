@@ -59,8 +59,7 @@ class Graph:
 
     def __init__(self, vectors: np.ndarray, rows: list[np.ndarray], links: list[np.ndarray], ids: np.ndarray, ends: np.ndarray):
         self.x, self.rows, self.links, self.ids, self.ends = vectors, rows, links, ids, ends
-        self.small = vectors.astype(np.float32)
-        self.norm = (self.small * self.small).sum(axis=1)
+        self.norm = (self.x * self.x).sum(axis=1)
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray) -> "Graph":
@@ -82,7 +81,7 @@ class Graph:
         for k in range(int(level.max(initial=0)) + 1):
             nodes = np.flatnonzero(level >= k)
             rows.append(nodes)
-            links.append(cls._layer(x[nodes].astype(np.float32), 2 * M if k == 0 else M))
+            links.append(cls._layer(x[nodes], 2 * M if k == 0 else M))
         return cls(x, rows, links, np.concatenate(groups) if n else ids, np.cumsum([len(g) for g in groups]).astype(np.int64))
 
     @staticmethod
@@ -119,8 +118,8 @@ class Graph:
         """About the k nearest nodes, nearest first."""
         if not len(self.x):
             return []
-        q32 = q.astype(np.float32)
-        dist = lambda nodes: self.norm[nodes] - 2 * (self.small[nodes] @ q32)  # noqa: E731  less the query's own norm
+        at_q = q.astype(np.float64)
+        dist = lambda nodes: self.norm[nodes] - 2 * (self.x[nodes] @ at_q)  # noqa: E731  less the query's own norm
         at = 0
         best = float(dist(np.array([0]))[0])
         for rows, links in zip(self.rows[:0:-1], self.links[:0:-1]):

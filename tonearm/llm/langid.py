@@ -183,3 +183,26 @@ def classify(docs: DataFrame, per_language: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred, score and ambiguous; learns from documents that aren't held out."""
     model = fit(docs.where(~held_out()), per_language)
     return predicted(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def accepted(docs: DataFrame, model: OutputCodes, least_score: float = 0.5, ambiguous_below: float = 0.2) -> DataFrame:
+    """The rows of ``docs`` (text, lang and others) with a letter and a clear language; a null lang is filled.
+
+    Rejected: texts without letters, and ambiguous ones of which the score is below ``least_score``.
+    """
+
+    def run(batches_in):
+        for batch in batches_in:
+            for i in range(0, batch.num_rows, 32):
+                part = batch.slice(i, 32)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                if not model.languages:
+                    continue
+                best, score, gap = model.decode(counts(texts))
+                keep = [has_letter(t) and not (g < ambiguous_below and s < least_score) for t, s, g in zip(texts, score, gap)]
+                if not any(keep):
+                    continue
+                lang = pa.array([v if v is not None else model.languages[b] for v, b in zip(part.column("lang").to_pylist(), best)], part.schema.field("lang").type)
+                yield part.set_column(part.schema.get_field_index("lang"), part.schema.field("lang"), lang).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -154,3 +154,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     features = written(featurised(docs), "quality-features")
     model = fit(features, labels.where(~held_out()).select("doc_id", F.col("quality").alias("label")))
     return scored(features, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, model: Discriminant, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``; texts don't move."""
+
+    def run(batches_in):
+        for batch in batches_in:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                keep = model.score(statistics([t or "" for t in part.column("text").to_pylist()])) >= threshold
+                if keep.any():
+                    yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

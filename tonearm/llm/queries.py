@@ -72,6 +72,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(_table(spark, sf_dir, "documents")))
 
 
+def op9_aho_corasick_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece import round_trips
+
+    return round_trips(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 

@@ -164,3 +164,15 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 def digest(scanned: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return scanned.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def masked(docs: DataFrame, table: list[float] | None = None, threshold: float = THRESHOLD, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span masked in ``text`` and ``n_chars`` counted anew where that column exists."""
+    table = table or train(default_samples(docs.sparkSession))
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    found = row.withColumn("base", F.array_sort(base_spans(text)))
+    found = found.withColumn("spans", F.array_sort(F.concat("base", markov_spans(text, F.col("base"), table, threshold))))
+    clean = found.select("row", F.when(F.col("row.text").isNotNull(), redacted(text, F.col("spans"), mask)).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return clean.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -317,9 +317,10 @@ def join_cluster(sets: list[np.ndarray]) -> np.ndarray:
             for t in own[x].tolist():
                 over[lists[t]] += 1
             follow = np.flatnonzero((leader < 0) & (2 * over.astype(np.int64) >= n + n[x] - over))  # resemblance of a half
+            follow = follow[follow != x]
             leader[follow] = leader[x] = x
-            if len(follow) > 1:
-                answers[x], left[x] = over, len(follow) - 1
+            if len(follow):
+                answers[x], left[x] = over, len(follow)
         else:
             over = answers[r].copy()
             for t in np.setdiff1d(own[r], own[x], assume_unique=True).tolist():
@@ -388,3 +389,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = written(reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("root", "rep").alias("component_id")), "join-ids")
     whole = sets.where("n > 0").join(ids, "sid").select("doc_id", "n", "component_id")
     return whole.unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of every component: that of least doc_id. Wordless rows and rows with a null doc_id stay.
+
+    Texts don't move where the dropped ids fit a broadcast; beyond ``BROADCAST_ROWS`` they are joined by a shuffle.
+    """
+    ids = written(near_duplicates(docs).select("doc_id", "n_shingles", "component_id"), "join-result")
+    gone = written(ids.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct(), "join-gone")
+    again = written(ids.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "join-again")
+    side = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    kept = docs.join(side(gone), "doc_id", "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    twice = side(again)
+    kept = kept.select(*docs.columns)
+    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)

@@ -118,51 +118,45 @@ def with_edits(docs: DataFrame, k: int = K, rows_each: int = 4096) -> DataFrame:
     sent = rows.select("doc_id", "text", F.explode(F.when(is_first, F.array(here, before)).otherwise(F.array(here))).alias("to"))
     dealt = sent.select("doc_id", "text", "to.range", "to.late").repartitionById(n, F.col("range")).sortWithinPartitions("range", "late", F.asc_nulls_first("doc_id"), "text")
 
-    def run(batches_in):
-        held: list[tuple[int, str]] = []
-        size, ready = 0, False
-
-        def flush(last_too: bool):
-            """Rows for all held documents that have a successor here; the last one stays."""
-            nonlocal held, size
-            n_rows = len(held) - 1
-            texts = [t for _, t in held]
-            edits = []
-            for (_, a), (_, b) in zip(held, held[1:]):
-                half = len(a) // 2
-                edits.append(a[: len(a) - half] + b[:half])
-            got = [lowest(x, k) for x in shingles(texts + edits)]
-            own, new = got[: len(texts)], got[len(texts) :]
-            cols = [
-                pa.array([d for d, _ in held[:n_rows]], pa.int64()),
-                pa.array([len(t) for t in texts[:n_rows]], pa.int64()),
-                pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits], pa.string()),
-                pa.array([to_string(x) for x in own[:n_rows]], pa.string()),
-                pa.array([to_string(x) for x in new], pa.string()),
-                pa.array([resemblance(a, b, k) for a, b in zip(own, new)], pa.float64()),
-                pa.array([resemblance(a, b, k) for a, b in zip(own, own[1:])], pa.float64()),
-            ]
-            held = held[-1:]
-            size = len(held[0][1])
-            return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in EDITED.split(", ")])
+    names = [c.split()[0] for c in EDITED.split(", ")]
+
+    def rows_of(docs_: list, texts: list[str]):
+        """Rows of all but the last of consecutive documents."""
+        n_rows = len(texts) - 1
+        halves = [len(t) // 2 for t in texts]
+        edits = [a[: len(a) - h] + b[:h] for a, b, h in zip(texts, texts[1:], halves)]
+        got = [lowest(x, k) for x in shingles(texts + edits)]
+        own, new = got[: len(texts)], got[len(texts) :]
+        cols = [
+            pa.array(docs_[:n_rows], pa.int64()),
+            pa.array([len(t) for t in texts[:n_rows]], pa.int64()),
+            pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits], pa.string()),
+            pa.array([to_string(x) for x in own[:n_rows]], pa.string()),
+            pa.array([to_string(x) for x in new], pa.string()),
+            pa.array([resemblance(a, b, k) for a, b in zip(own, new)], pa.float64()),
+            pa.array([resemblance(a, b, k) if d is not None else 0.0 for d, a, b in zip(docs_, own, own[1:])], pa.float64()),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
+    def run(batches_in):
+        docs_, texts, size, over, span = [], [], 0, False, None
         for batch in batches_in:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                for doc, text, late in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("late").to_pylist()):
+                for doc, text, late, place in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "late", "range"))):
+                    if place != span:
+                        docs_, texts, size, over, span = [], [], 0, False, place
                     if doc is None:
-                        kept, held, kept_size = held, [(None, text), (None, "")], size
-                        row = flush(True).to_pylist()[0]
-                        row["near_next"] = 0.0
-                        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]))
-                        held, size = kept, kept_size
-                        continue
-                    if ready:
+                        yield rows_of([None, None], [text, ""])
                         continue
-                    held.append((doc, text))
+                    if over:
+                        continue  # the range's successor has come; more rows with its id belong elsewhere
+                    docs_.append(doc)
+                    texts.append(text)
                     size += len(text)
-                    ready = bool(late)
-                    if len(held) > 1 and (ready or len(held) > 1024 or size > 2_000_000):
-                        yield flush(False)
+                    over = bool(late)
+                    if len(texts) > 1 and (over or len(texts) > 1024 or size > 2_000_000):
+                        yield rows_of(docs_, texts)
+                        docs_, texts, size = docs_[-1:], texts[-1:], len(texts[-1])
 
     return dealt.mapInArrow(run, EDITED)

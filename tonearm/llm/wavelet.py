@@ -294,5 +294,6 @@ def document_index(manifest: DataFrame) -> DataFrame:
                 sums = [zlib.crc32(ids[e - n : e].astype("<u4")) for e, n in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": ends - lengths + row["file_start"], "n_tokens": lengths, "ids_crc32": pa.array(sums, pa.int64())})
 
-    placed = with_starts(manifest).select("path", "file_start")
+    files = manifest.count()
+    placed = with_starts(manifest).select("path", "file_start").repartition(max(1, min(files, 100_000)), "path")  # else the few rows meet in one task
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
