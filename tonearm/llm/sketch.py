@@ -80,11 +80,11 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 def merged(df: DataFrame, key: str, fingerprint: str = "fingerprint", k: int = K) -> DataFrame:
     """One fingerprint per key for the union of its rows; values are dealt out, not gathered."""
     hexes = F.lower(F.hex(F.unbase64(fingerprint)))
-    parts = F.transform(F.sequence(F.lit(0), F.length(hexes) / 12 - 1), lambda i: F.substr(hexes, (i * 12 + 1).cast("int"), F.lit(12)))
+    parts = F.transform(F.sequence(F.lit(0), (F.length(hexes) / 12).cast("int") - 1), lambda i: F.substr(hexes, (i * 12 + 1).cast("int"), F.lit(12)))
     values = df.select(key, F.explode(F.when(F.length(hexes) > 0, parts)).alias("v")).distinct()
     least = values.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("v"))).where(F.col("r") <= k)
     joined = least.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("v")), "").alias("h"))
-    return df.select(key).distinct().join(joined, key, "left").select(key, F.coalesce(F.base64(F.unhex("h")), F.lit("")).alias("fingerprint"))
+    return df.select(key).distinct().join(joined, key, "left").select(key, F.coalesce(F.regexp_replace(F.base64(F.unhex("h")), "\\s", ""), F.lit("")).alias("fingerprint"))
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
