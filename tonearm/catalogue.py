@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tonearm.plans import browse, registry, shapes  # noqa: F401  they register their queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
