@@ -90,14 +90,14 @@ class OutputCodes:
         share = np.array([lang.count(v) for v in languages], dtype=float)
         load = np.sqrt(1 / share[[languages.index(v) for v in lang]])[:, None]  # languages weigh the same
         load /= load.mean()
-        kernel = (x.astype(np.float64) @ x.T.astype(np.float64) + 1.0) * load * load.T
+        kernel = ((x @ x.T).astype(np.float64) + 1.0) * load * load.T
         inverse = np.linalg.inv(kernel + ridge * len(lang) / 10 * np.eye(len(lang)))
         alpha = inverse @ (y * load)
         left_out = y * load - alpha / np.diag(inverse)[:, None]  # predictions of each row without it
         right = (np.sign(left_out) == y).mean(axis=0)
         trust = np.log((right + 0.01) / (1.01 - right)).clip(0.05)
         alpha = alpha * load
-        return cls(languages, code, (x.T.astype(np.float64) @ alpha).astype(np.float32), alpha.sum(axis=0), trust / trust.sum())
+        return cls(languages, code, x.T @ alpha.astype(np.float32), alpha.sum(axis=0), trust / trust.sum())
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, its share of the softened losses, and the gap to the next."""
@@ -127,7 +127,7 @@ def training_ids(docs: DataFrame, per_language: int, max_rows: int) -> dict[str,
     return {lang: [i for _, i in sorted(v)[:each]] for lang, v in got.items()}
 
 
-def fit(docs: DataFrame, per_language: int = 400, max_rows: int = 4000) -> OutputCodes:
+def fit(docs: DataFrame, per_language: int = 400, max_rows: int = 2400) -> OutputCodes:
     """Learns from ``docs`` (doc_id, text, lang), from at most ``max_rows`` of them."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
     ids = training_ids(known, per_language, max_rows)
