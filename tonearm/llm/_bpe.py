@@ -17,7 +17,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 400_000
 JOINT = 64  # chunks in one string
 _ODD = re.compile(r"[^\S \n\r\t]")
 _WS = np.zeros(256, dtype=bool)
@@ -167,15 +167,23 @@ class ChunkEncoder(ChunkCache):
         head[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]
 
     def _alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.lib.encode_batch_fast(chunks, add_special_tokens=False)]
-        return np.array([i for x in ids for i in x], dtype=self.dtype), np.array([len(x) for x in ids], dtype=np.int64)
+        return self._ids(self.lib, chunks)
+
+    def _ids(self, lib, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts end to end and how many each has; few at a time, as the library's records are large."""
+        flat, many = [np.zeros(0, dtype=self.dtype)], []
+        for i in range(0, len(texts), 256):
+            ids = [e.ids for e in lib.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
+            flat.append(np.array([k for x in ids for k in x], dtype=self.dtype))
+            many += map(len, ids)
+        return np.concatenate(flat), np.array(many, dtype=np.int64)
 
     def _joint(self, data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Adjoining chunks of which the ids show where one ends: by its first id (byte-level) or its last (word ends)."""
         raw, cut = data.tobytes(), np.append(0, np.cumsum(lens))
         ends = cut[np.minimum(np.arange(0, len(lens) + JOINT, JOINT), len(lens))].tolist()
         joined = [raw[x:y].decode() for x, y in zip(ends, ends[1:])]
-        flat = np.array([i for e in self.plain.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], dtype=self.dtype)
+        flat = self._ids(self.plain, joined)[0]
         at = np.flatnonzero(self.edge[flat])
         if len(at) != len(lens):
             cut = cut.tolist()
@@ -213,7 +221,7 @@ class ChunkEncoder(ChunkCache):
         return flat, stops
 
 
-def batches(column, rows: int = 2048, chars: int = 3_000_000):
+def batches(column, rows: int = 2048, chars: int = 2_000_000):
     """Lists of texts of an Arrow column (null: empty), each of bounded size; a longer text comes alone."""
     out, size = [], 0
     for i in range(0, len(column), 256):

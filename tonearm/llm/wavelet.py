@@ -199,7 +199,7 @@ class WaveletMatrix:
         return cur
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, rows_per_shard: int = 8192, tokens_per_file: int = 1 << 22) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, rows_per_shard: int = 4096, tokens_per_file: int = 1 << 22) -> DataFrame:
     """Writes the files and returns their manifest. ``tokens_per_file`` bounds a task's memory: a shard with more gets more files."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "wavelet")
