@@ -143,7 +143,7 @@ def split_title_by_author(c: Column) -> Column:
     """(title, author) of "Title by Author Name", or null where the end doesn't look like names."""
     shape = r"(?is)^(.*) by (.*?)$"
     title, author = tidy(F.regexp_extract(c, shape, 1)), tidy(F.regexp_extract(c, shape, 2))
-    names = F.filter(F.transform(F.split(author, "[,&]"), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split(author, "[,&]"), lambda x: F.trim(x)), lambda x: x != "")
     words = lambda x: F.filter(F.split(x, r"\s+"), lambda w: (w != "and") & (w != ""))
     good = lambda x: F.size(words(x)).between(2, 6) & F.forall(words(x), lambda w: w.rlike(r"^\p{Lu}")) & ~F.contains(x, F.lit(":"))
     return F.when(title.isNotNull() & author.isNotNull() & (F.size(names) > 0) & F.forall(names, good), F.struct(title.alias("title"), author.alias("author")))
@@ -174,7 +174,7 @@ def genre_squash(c: Column) -> Column:
 
 def genre_values(c: Column) -> Column:
     """The values of a raw genre tag; none for a web address."""
-    cut = F.filter(F.transform(F.split(c, r"[/;|,]| - "), F.trim), lambda x: x != "")
+    cut = F.filter(F.transform(F.split(c, r"[/;|,]| - "), lambda x: F.trim(x)), lambda x: x != "")
     url = F.contains(F.lower(c), F.lit("://")) | F.ltrim(F.lower(c)).startswith("www.")
     return F.when(url, F.array().cast("array<string>")).otherwise(cut)
 
@@ -206,6 +206,6 @@ def genre_display(cleaned: Column) -> Column:
 
 def genre_words(cleaned: Column) -> Column:
     """Squashed words, then adjoining pairs: what keywords are looked up by."""
-    words = F.filter(F.transform(F.split(cleaned, "[ -]"), genre_squash), lambda w: w != "")
+    words = F.filter(F.transform(F.split(cleaned, "[ -]"), lambda w: genre_squash(w)), lambda w: w != "")
     pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat(F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
     return F.concat(words, pairs)

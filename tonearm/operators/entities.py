@@ -100,7 +100,7 @@ def tokens(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_-]", "")), lambda w: w != "")
 
 
-def search(docs: DataFrame, query: str, id_col: str, text: str, keep: Column | None = None, most: int = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def search(docs: DataFrame, query: str, id_col: str, text: str, keep: Column | None = None, most: int | None = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Prefix search: every query token must start some word; ranked by BM25; cut to ``most`` and only then filtered by ``keep``.
 
     Only words that match reach a shuffle; document count and mean length come from one aggregation.
@@ -111,7 +111,11 @@ def search(docs: DataFrame, query: str, id_col: str, text: str, keep: Column | N
     sized = docs.select(id_col, tokens(F.col(text)).alias("__t"))
     stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("__t")).alias("len")).first()
     n, mean = stats["n"], stats["len"] or 1.0
-    counts = [F.size(F.filter("__t", lambda w, q=q: F.startswith(w, F.lit(q)))).alias(f"c{i}") for i, q in enumerate(wanted)]
+
+    def matching(q: str) -> Column:
+        return F.size(F.filter("__t", lambda w: F.startswith(w, F.lit(q))))  # a second lambda parameter would be the index
+
+    counts = [matching(q).alias(f"c{i}") for i, q in enumerate(wanted)]
     hits = sized.select(id_col, F.size("__t").alias("len"), *counts)
     df = hits.agg(*[F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in range(len(wanted))]).first()
     score = F.lit(0.0)
@@ -122,7 +126,8 @@ def search(docs: DataFrame, query: str, id_col: str, text: str, keep: Column | N
     every = F.lit(True)
     for i in range(len(wanted)):
         every = every & (F.col(f"c{i}") > 0)
-    top = hits.where(every).select(id_col, score.alias("rank")).orderBy(F.desc("rank"), id_col).limit(most)
+    top = hits.where(every).select(id_col, score.alias("rank"))
+    top = top.orderBy(F.desc("rank"), id_col).limit(most) if most is not None else top
     return top.join(docs.where(keep).select(id_col), id_col, "left_semi") if keep is not None else top
 
 

@@ -11,7 +11,7 @@ from tonearm.functions import names, text
 from tonearm.operators import analytic, relational
 from tonearm.plans.registry import query
 
-PRESENT = F.col("l_returnflag") != "R"
+PRESENT = "l_returnflag <> 'R'"
 
 
 def _tracks(t):
@@ -37,7 +37,7 @@ def album_by_id(t):
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'R' AND l_linestatus = 'O' AND l_quantity >= 30")
 def visible_tracks(t):
-    return t.lineitem.where(PRESENT & (F.col("l_linestatus") == "O") & (F.col("l_quantity") >= 30)).select("l_orderkey", "l_linenumber")
+    return _tracks(t).where((F.col("l_linestatus") == "O") & (F.col("l_quantity") >= 30)).select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT o_orderkey, l_orderkey IS NULL AS is_empty FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'A') ON l_orderkey = o_orderkey")
@@ -216,7 +216,8 @@ def size_collision_having(t):
 @query("SELECT (SELECT count(*) FROM orders) AS albums, (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'R') AS tracks, (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1) AS newest")
 def library_totals(t):
     newest = t.orders.agg(F.count("*").alias("albums"), F.max_by("o_orderkey", F.struct("o_orderdate", -F.col("o_orderkey"))).alias("newest"))
-    return _tracks(t).agg(F.count("*").alias("tracks")).join(newest, F.lit(True)).select("albums", "tracks", "newest")
+    both = newest.unionByName(_tracks(t).agg(F.count("*").alias("tracks")), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("albums", "tracks", "newest")])
 
 
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, o_orderstatus) AS k FROM orders ORDER BY 2, 1 LIMIT 50")

@@ -171,9 +171,9 @@ def album_consolidation(t):
     return entities.consolidated(albums, tracks)
 
 
-@query("SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}_-]', '', 'g') LIKE 'cr%')) > 0 AND len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}_-]', '', 'g') LIKE 'mo%')) > 0")
+@query("SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}_-]', '', 'g') LIKE 'th%')) > 0 AND len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}_-]', '', 'g') LIKE 'nd%')) > 0")
 def bm25_search(t):
-    return entities.search(t.documents, "cr mo", "doc_id", "text", most=1_000_000_000).select("doc_id")
+    return entities.search(t.documents, "th nd", "doc_id", "text", most=None).select("doc_id")
 
 
 @query("""SELECT a, b, round(c, 5) AS confidence FROM (SELECT x.p_partkey a, y.p_partkey b, 1.0 - levenshtein(x.p_name, y.p_name)::DOUBLE / greatest(length(x.p_name), length(y.p_name)) c, row_number() OVER (PARTITION BY x.p_partkey ORDER BY (1.0 - levenshtein(x.p_name, y.p_name)::DOUBLE / greatest(length(x.p_name), length(y.p_name)))::FLOAT DESC, y.p_partkey DESC) r

@@ -19,17 +19,23 @@ DROPPED_TAGS = set("script style iframe object embed noscript template form svg
 VOID_TAGS = {"br", "hr"}
 
 
-def decoded(content, charset=None):
+# Windows-1252 characters for bytes 0x80-0x9F, where they differ from Latin-1.
+CP1252 = {0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ"}
+
+
+def decoded(content):
     """Bytes to text: a byte-order mark decides, else UTF-8, else Windows-1252."""
     utf16 = F.hex(F.substr(content, F.lit(1), F.lit(2))).isin("FFFE", "FEFF")
-    return F.when(utf16, F.decode(content, "UTF-16")).when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "windows-1252"))
+    latin = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, CP1252)), "".join(CP1252.values()))
+    return F.when(utf16, F.decode(content, "UTF-16")).when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(latin)
 
 
 def _tag(block, name: str):
     """Text of the first <name> in a block, CDATA unwrapped, entities read; null if blank."""
     raw = F.regexp_extract(block, rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}\s*>", 1)
     cdata = r"(?s)^\s*<!\[CDATA\[(.*?)(?:\]\]>)?\s*$"
-    text = F.trim(F.when(raw.rlike(cdata), F.regexp_extract(raw, cdata, 1)).otherwise(xml_unescape(raw)))
+    kept = F.replace(F.regexp_extract(raw, cdata, 1), F.lit("&amp;"), F.lit("&"))  # the repair escaped bare ampersands here too
+    text = F.trim(F.when(raw.rlike(cdata), kept).otherwise(xml_unescape(raw)))
     return F.nullif(text, F.lit(""))
 
 

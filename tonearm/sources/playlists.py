@@ -46,7 +46,7 @@ def to_xspf(entries: DataFrame) -> DataFrame:
     def tag(name, c):
         return F.when(c.isNotNull(), F.concat(F.lit(f"<{name}>"), xml_escape(c.cast("string")), F.lit(f"</{name}>"))).otherwise("")
 
-    address = F.concat(F.lit("file://"), F.array_join(F.transform(F.split("path", "/"), percent_encode), "/"))
+    address = F.concat(F.lit("file://"), F.array_join(F.transform(F.split("path", "/"), lambda x: percent_encode(x)), "/"))
     line = F.concat(F.lit("<track>"), tag("location", address), tag("title", F.col("title")), tag("creator", F.col("artist")), tag("duration", F.col("duration_ms")), F.lit("</track>"))
     return _written(entries, line, '<?xml version="1.0" encoding="UTF-8"?>\n<playlist version="1" xmlns="http://xspf.org/ns/0/"><trackList>', "</trackList></playlist>\n", "")
 
