@@ -311,3 +311,125 @@ def ext_hourly_windows(t):
 @query("SELECT c_mktsegment, c_custkey, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) AS r FROM customer")
 def ext_rank(t):
     return t.customer.select("c_mktsegment", "c_custkey", F.rank().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"))).cast("long").alias("r"))
+
+
+def _episodes(t):
+    e = t.events
+    return e.select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("feed_id"), F.concat(F.lit("g"), F.col("event_id").cast("string")).alias("guid"), F.col("event_type").alias("title"),
+        F.concat(F.lit("http://x/"), (F.col("event_id") % 9000).cast("string")).alias("enclosure_url"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("/f/"), (F.col("event_id") % 6000).cast("string"))).alias("file_path"),
+        F.when(F.col("event_id") % 4 == 0, F.unix_millis("ts")).alias("played_at"), F.unix_millis("ts").alias("published_at"), (F.col("event_id") % 11 == 0).alias("dropped"),
+    )
+
+
+def _feeds(t):
+    users = t.events.select(F.col("user_id").alias("feed_id")).distinct()
+    return users.select("feed_id", (F.col("feed_id") % 4).cast("int").alias("keep_n"), F.lit(30).alias("delete_played_after_days"), (F.col("feed_id") % 3 != 0).alias("auto_download"))
+
+
+EPISODES = """WITH ep AS (SELECT event_id id, user_id feed_id, CASE WHEN event_id % 3 <> 0 THEN '/f/' || (event_id % 6000) END file_path, CASE WHEN event_id % 4 = 0 THEN epoch_us(ts) // 1000 END played_at, epoch_us(ts) // 1000 published_at, event_id % 11 = 0 dropped FROM events),
+fd AS (SELECT DISTINCT user_id feed_id, CAST(user_id % 4 AS INTEGER) keep_n, user_id % 3 <> 0 auto_download FROM events) """
+
+
+@query(EPISODES + "SELECT fd.feed_id, keep_n, 30 AS delete_played_after_days, auto_download, count(*) AS episodes, count(*) FILTER (WHERE played_at IS NULL AND NOT dropped) AS unplayed FROM fd JOIN ep USING (feed_id) GROUP BY ALL")
+def feed_list(t):
+    from tonearm.operators import services
+
+    return services.feed_list(_feeds(t), _episodes(t))
+
+
+@query(EPISODES + ", r AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY published_at DESC NULLS LAST, id DESC) r FROM ep JOIN fd USING (feed_id) WHERE auto_download AND played_at IS NULL AND NOT dropped) SELECT feed_id, id FROM r WHERE r <= greatest(keep_n, 1) AND file_path IS NULL")
+def auto_download_pick(t):
+    from tonearm.operators import services
+
+    return services.to_download(_episodes(t), _feeds(t))
+
+
+@query(EPISODES + """, o AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY played_at IS NULL, coalesce(published_at, 0), id) r, count(*) OVER (PARTITION BY feed_id) n FROM ep JOIN fd USING (feed_id) WHERE file_path IS NOT NULL AND auto_download)
+SELECT id FROM ep WHERE file_path IS NOT NULL AND played_at < 1767225600000 - 30 * 86400000::BIGINT UNION SELECT id FROM o WHERE r <= n - greatest(keep_n, 1)""")
+def feed_retention(t):
+    from tonearm.operators import services
+
+    return services.retention(_episodes(t), _feeds(t), 1_767_225_600_000)
+
+
+@query(EPISODES + "SELECT id FROM ep WHERE file_path IN (SELECT file_path FROM ep GROUP BY 1 HAVING count(*) > 1)")
+def path_collision(t):
+    from tonearm.operators import services
+
+    return services.path_collisions(_episodes(t)).select("id")
+
+
+@query(EPISODES + "SELECT user_id AS feed_id, 'g' || event_id AS guid, 'http://x/' || CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 0 THEN event_id % 9000 ELSE event_id % 100 END AS enclosure_url, FALSE AS dropped FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT user_id, 'g' || event_id, 'http://x/' || (event_id % 9000), TRUE FROM events WHERE event_id % 2 = 0 AND event_id % 5 = 0")
+def feed_store(t):
+    from tonearm.operators import services
+
+    e = _episodes(t)
+    known = e.where("id % 2 = 0").select("feed_id", "guid", "title", "enclosure_url", "file_path", "dropped").withColumn("dropped", F.lit(False))
+    now = e.where("id % 5 <> 0").select("feed_id", "guid", "title", F.concat(F.lit("http://x/"), (F.col("id") % 100).cast("string")).alias("enclosure_url"))
+    return services.stored_feed(known, now).select("feed_id", "guid", "enclosure_url", "dropped")
+
+
+@query("SELECT o_orderkey AS book_id, CAST(o_orderkey % 1000 AS BIGINT) AS book_offset_ms, round((o_orderkey % 1000) / 1000.0::DOUBLE, 6) AS progress FROM orders WHERE o_custkey % 10 = 3 AND o_orderstatus <> 'P' AND o_orderkey % 1000 BETWEEN 1 AND 969")
+def continue_shelf(t):
+    from tonearm.operators import services
+
+    books = t.orders.select(F.col("o_orderkey").alias("book_id"), F.lit(1000).cast("long").alias("duration_ms"))
+    pos = t.orders.select(F.col("o_orderkey").alias("book_id"), (F.col("o_custkey") % 10).alias("user_id"), (F.col("o_orderkey") % 1000).alias("book_offset_ms"), F.unix_millis("o_orderdate").alias("updated_at"), (F.col("o_orderstatus") == "P").alias("dismissed"))
+    return services.continue_shelf(books, pos, 3).select("book_id", "book_offset_ms", F.round("progress", 6).alias("progress"))
+
+
+@query("SELECT action, count(*) AS n FROM (SELECT CASE WHEN event_id % 2 <> 0 THEN 'add' WHEN event_id % 5 = 0 THEN 'missing' WHEN event_id % 7 = 0 THEN 'update' ELSE 'skip' END AS action FROM events WHERE event_id % 2 = 0 OR event_id % 5 <> 0) GROUP BY 1")
+def scan_report(t):
+    from tonearm.operators import services
+
+    e = t.events.select(F.col("event_id").alias("id"), F.col("event_id").cast("string").alias("path"), F.lit(1).alias("size"))
+    known = e.where("id % 2 = 0").select("path", "size", F.lit(1).alias("mtime"), F.lit("t").alias("title"), F.lit(1).alias("album_id"), F.lit("h").alias("hash"), F.lit(False).alias("missing"))
+    files = e.where("id % 5 <> 0").select("path", "size", F.when(F.col("id") % 7 == 0, 2).otherwise(1).alias("mtime"))
+    tags = e.select("path", F.lit("u").alias("title"), F.lit(2).alias("album_id"), F.lit("k").alias("hash"))
+    return services.scanned(known, files, tags)[1].select("action", F.col("count").alias("n"))
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def snapshot_round_trip(t):
+    from tonearm.operators import services
+
+    docs = services.snapshot_json(t.part.select("p_partkey", "p_name", "p_size"), "p_partkey")
+    return services.from_snapshot(docs, "p_partkey long, p_name string, p_size int", "p_partkey")
+
+
+@query("SELECT c_custkey, replace(replace(replace(c_name || '<&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM customer")
+def xml_escaped(t):
+    return t.customer.select("c_custkey", text.xml_escape(F.concat("c_name", F.lit("<&>"))).alias("x"))
+
+
+@query("SELECT page_id, 'audio-' || page_id || '- x' AS f FROM pages")
+def safe_file_name(t):
+    return t.pages.select("page_id", text.safe_name(F.concat(F.lit(" audio/"), F.col("page_id").cast("string"), F.lit(":  x. ")), 60).alias("f"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars * 100 < 1048576 THEN greatest(1, CAST(floor(n_chars * 100 / 1024.0 + 0.5) AS BIGINT)) || ' KB' ELSE format('{:.1f}', n_chars * 100 / 1048576.0::DOUBLE) || ' MB' END AS size FROM documents")
+def size_label(t):
+    return t.documents.select("doc_id", text.size_label(F.col("n_chars") * 100).alias("size"))
+
+
+@query("SELECT o_orderkey, CASE WHEN f IN ('dsf', 'dff') OR f IS NULL THEN CASE WHEN p = 'opus' THEN 'opus' ELSE 'flac' END WHEN p = 'opus' THEN 'opus' ELSE 'passthrough' END AS target FROM (SELECT o_orderkey, ['mp3', 'flac', 'dsf', 'dff', NULL][CAST(o_orderkey % 5 AS INTEGER) + 1] f, ['opus', 'passthrough', NULL][CAST(o_orderkey % 3 AS INTEGER) + 1] p FROM orders)")
+def transcode_ladder(t):
+    k = F.col("o_orderkey")
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs)).cast("int") + 1)
+    return t.orders.select("o_orderkey", text.transcode_target(pick(["mp3", "flac", "dsf", "dff", None]), pick(["opus", "passthrough", None])).alias("target"))
+
+
+@query("SELECT page_id, regexp_extract('/m/' || url || '/a.mp3', '^(.*)/[^/]+$', 1, 's') AS d FROM pages")
+def parent_directory(t):
+    return t.pages.select("page_id", names.parent_dir(F.concat(F.lit("/m/"), "url", F.lit("/a.mp3"))).alias("d"))
+
+
+@query("SELECT p_partkey, trim(regexp_extract(p_name || ': ' || p_type, '^[^:(]*')) AS title FROM part")
+def main_title(t):
+    return t.part.select("p_partkey", names.main_title(F.concat("p_name", F.lit(": "), "p_type")).alias("title"))
+
+
+@query("SELECT p_partkey, sha256(p_name) AS h FROM part")
+def content_hash(t):
+    return t.part.select("p_partkey", text.content_hash(F.col("p_name").cast("binary")).alias("h"))
