@@ -10,7 +10,6 @@ Texts with white space beyond space, tab and line ends go to the library whole.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 
@@ -18,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 CACHE_CHUNKS = 400_000
+TABLE, PROBES = 1 << 21, 24  # places in the hash table, and steps of a search
 JOINT = 64  # chunks in one string
 _ODD = re.compile(r"[^\S \n\r\t]")
 _WS = np.zeros(256, dtype=bool)
@@ -73,10 +73,37 @@ class ChunkCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.keys, self.slots, self.used = np.zeros(TABLE, dtype=np.uint64), np.zeros(TABLE, dtype=np.int32), 0
         self.pool, self.pool_n = np.zeros(1 << 20, dtype=self.dtype), 0
         self.first, self.many = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
 
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key in the open-addressed table, or -1."""
+        out, left, at = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys)), (keys & np.uint64(TABLE - 1)).astype(np.int64)
+        for _ in range(PROBES):
+            here = self.keys[at]
+            hit = here == keys[left]
+            out[left[hit]] = self.slots[at[hit]]
+            on = ~hit & (here != 0)
+            if not on.any():
+                break
+            left, at = left[on], (at[on] + 1) & (TABLE - 1)
+        return out
+
+    def _enter(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        """Adds distinct keys; one that finds no place within PROBES is learnt again when it comes again."""
+        at = (keys & np.uint64(TABLE - 1)).astype(np.int64)
+        for _ in range(PROBES):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]
+            mine = free & (self.keys[at] == keys)  # of keys after one place, the last one got it
+            self.slots[at[mine]] = slots[mine]
+            if mine.all():
+                break
+            keys, slots, at = keys[~mine], slots[~mine], (at[~mine] + 1) & (TABLE - 1)
+            if not len(keys):
+                break
+
     def _heads(self, data: np.ndarray, head: np.ndarray) -> None:
         """Marks where chunks start, beside the first byte of every text."""
         raise NotImplementedError
@@ -86,16 +113,16 @@ class ChunkCache:
         raise NotImplementedError
 
     def _slots(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """The cache slot of each key, whose chunk is data[starts : starts + lens]."""
-        if len(self.slot) + len(keys) > max(CACHE_CHUNKS, 2 * len(keys)):
+        """The cache slot of each chunk data[starts : starts + lens], whose hash is its key."""
+        if self.used > CACHE_CHUNKS:
             self._clear()
-        names = keys.tolist()
-        got = np.fromiter(map(self.slot.get, names, itertools.repeat(-1)), dtype=np.int64, count=len(names))
-        new = np.flatnonzero(got < 0)
-        if len(new):
-            ids, many, order = self._learn(data, starts[new], lens[new])
-            new = new[order]
-            n, k = len(self.slot), len(new)
+        got = self._found(keys)
+        lost = np.flatnonzero(got < 0)
+        if len(lost):
+            new, where, back = np.unique(keys[lost], return_index=True, return_inverse=True)
+            where = lost[where]
+            ids, many, order = self._learn(data, starts[where], lens[where])
+            n, k = self.used, len(new)
             while self.pool_n + len(ids) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
             while n + k > len(self.first):
@@ -104,8 +131,11 @@ class ChunkCache:
             self.many[n : n + k] = many
             self.first[n : n + k] = self.pool_n + np.cumsum(many) - many
             self.pool_n += len(ids)
-            got[new] = np.arange(n, n + k)
-            self.slot.update(zip(keys[new].tolist(), range(n, n + k)))
+            self.used += k
+            slot = np.empty(k, dtype=np.int64)
+            slot[order] = np.arange(n, n + k)
+            self._enter(new, slot)
+            got[lost] = slot[back]
         return got
 
     def encode_bytes(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +147,8 @@ class ChunkCache:
         head[ends[:-1][np.diff(ends) > 0]] = True
         starts = np.flatnonzero(head)
         lens = np.diff(starts, append=len(data))
-        keys, where, back = np.unique(hashed_spans(data, starts, lens), return_index=True, return_inverse=True)
-        slots = self._slots(keys, data, starts[where], lens[where])[back]
+        keys = np.maximum(hashed_spans(data, starts, lens), np.uint64(1))  # 0 marks a free place
+        slots = self._slots(keys, data, starts, lens)
         many = self.many[slots]
         total = np.cumsum(many)
         flat = self.pool[np.repeat(self.first[slots] - (total - many), many) + np.arange(total[-1])]
