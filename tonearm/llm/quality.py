@@ -29,9 +29,9 @@ _STOP[[ord("."), ord(",")]] = True
 _ALPHA[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def _share(x, n, prior: float = 1.0):
-    """The log odds of x in n, damped for small n."""
-    return np.log((x + prior * 0.05) / (n - x + prior))
+def _share(x, n, floor: float):
+    """The log of a share, level below ``floor``: what is rare weighs the same in short and long texts."""
+    return np.log(x / np.maximum(n, 1) + floor)
 
 
 def _sums(mask: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -61,13 +61,13 @@ def statistics(texts: list[str]) -> np.ndarray:
         lines = texts[i].split("\n")
         byte = np.bincount(part, minlength=256) / max(1, len(part))
         byte = byte[byte > 0]
-        out[i, 6:] = (np.log((len(runs) + 1) / (n + 1)), _share(most, n), _share(n - once, n), _share(next_same, n), _share(len(lines) - len(set(lines)), len(lines)), np.log1p(n / len(lines)), 0.0, float(-(byte * np.log2(byte)).sum()))
+        out[i, 6:] = (np.log((len(runs) + 1) / (n + 1)), _share(max(most - 2, 0), n, 0.2), _share(n - once, n, 0.2), _share(max(next_same - 1, 0), n, 0.2), _share(len(lines) - len(set(lines)), len(lines), 0.2), np.log1p(n / len(lines)), 0.0, float(-(byte * np.log2(byte)).sum()))
     m = many.astype(float)
     out[:, 0] = np.log1p(m)
     out[:, 1] = np.log1p((n_bytes - ws) / np.maximum(1, m))
     for c, k in enumerate(("symbol", "digit", "upper", "stop"), 2):
-        out[:, c] = _share(counts[k], np.maximum(n_bytes, counts[k]))
-    out[:, 12] = _share(n_bytes - ws - counts["alpha"], np.maximum(n_bytes - ws, 0) + 0.0)
+        out[:, c] = _share(counts[k], n_bytes, 0.03)
+    out[:, 12] = _share(n_bytes - ws - counts["alpha"], n_bytes - ws, 0.05)
     return out
 
 
