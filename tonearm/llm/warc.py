@@ -263,4 +263,5 @@ def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=_SCHEMA)
 
-    return paths.select("path").where("path IS NOT NULL").mapInArrow(read, ROWS)
+    named = paths.select("path").where("path IS NOT NULL")
+    return named.repartition(max(1, min(named.count(), 100_000)), "path").mapInArrow(read, ROWS)  # else few rows meet in few tasks
