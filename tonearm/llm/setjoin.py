@@ -36,7 +36,7 @@ HOT = 8  # counted at least so often: ordered last
 HOT_MOST = 1 << 18  # size of the order table; rarer shingles keep their place by hash
 LONG = 64
 BUCKET_POSTINGS = 1_500_000
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 400_000
 BROADCAST_ROWS = 1_000_000
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
