@@ -82,6 +82,8 @@ def listened_by_day(sessions: DataFrame, zone: str = "UTC") -> DataFrame:
 
 def within_budget(files: DataFrame, budget: int, keep: str | None = None) -> DataFrame:
     """Cached files that stay under a byte budget, most recently used first; ``keep`` is never evicted. ``files``: name, size, used_at."""
+    from .ordering import running_total
+
     first = (F.col("name") == keep) if keep is not None else F.lit(False)
-    w = Window.orderBy(F.desc(first), F.desc("used_at"), "name").rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("__s", F.sum("size").over(w)).where((F.col("__s") <= budget) | first).drop("__s")
+    summed = running_total(files.withColumn("__first", first), [F.desc("__first"), F.desc("used_at"), "name"], F.col("size").cast("long"), "__s")
+    return summed.where((F.col("__s") <= budget) | F.col("__first")).drop("__s", "__first")

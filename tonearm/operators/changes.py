@@ -102,10 +102,10 @@ def jobs_after_restart(jobs: DataFrame) -> DataFrame:
 
 def got_or_created(names: DataFrame, wanted: DataFrame, next_id: int) -> DataFrame:
     """Rows of (id, name) with an id for every wanted name; new ids follow in name order."""
-    from pyspark.sql import Window
+    from .ordering import numbered
 
     fresh = wanted.select("name").distinct().join(names, "name", "left_anti")
-    return names.unionByName(fresh.select((F.row_number().over(Window.orderBy("name")) - 1 + next_id).cast("long").alias("id"), "name"))
+    return names.unionByName(numbered(fresh, ["name"], "id", next_id).select("id", "name"))
 
 
 def cached_lookup(requests: DataFrame, cache: DataFrame, now: int, ttl_ms: int = 86_400_000) -> DataFrame:

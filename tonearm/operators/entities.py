@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tonearm.functions import names
 
+from .ordering import cut, numbered
+
 
 def duplicate_keepers(tracks: DataFrame, keys: list[str], id_col: str, present: Column | None = None) -> DataFrame:
     """``duplicate_of``: the least id of present rows with the same non-null keys; null for the keeper and for all others."""
@@ -51,7 +53,7 @@ def consolidated(albums: DataFrame, tracks: DataFrame, most_rounds: int = 40) ->
         least = links.join(label, "id").groupBy("k").agg(F.min("root").alias("m"))
         new = links.join(least, "k").groupBy("id").agg(F.min("m").alias("root"))
         new = new.join(new.select(F.col("id").alias("root"), F.col("root").alias("up")), "root", "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root"))
-        new = _cut(new)
+        new = cut(new)
         moved = new.join(label.withColumnRenamed("root", "old"), "id").where("root <> old").isEmpty()
         label = new
         if moved:
@@ -60,16 +62,6 @@ def consolidated(albums: DataFrame, tracks: DataFrame, most_rounds: int = 40) ->
     return label.select(F.col("id").alias("album_id"), F.col("root").alias("survivor"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the session's shared folder, where it names one."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tonearm-"))
-    return df.checkpoint()
-
-
 def merged_fields(albums: DataFrame, survivors: DataFrame, columns: list[str], various: str = "Various Artists") -> DataFrame:
     """One row per survivor: each column's first non-null value by id; artists that differ become ``various``."""
     rows = albums.withColumnRenamed("id", "album_id").join(survivors, "album_id")
@@ -194,7 +186,7 @@ def playlist_import(entries: DataFrame, roots: list[str], tracks: DataFrame) ->
 
     found = best_path_match(entries, roots, tracks)
     matched = found.where("track_id IS NOT NULL")
-    return matched.select((F.row_number().over(Window.orderBy("pos")) - 1).alias("position"), "track_id"), found.where("track_id IS NULL").select("pos", "raw")
+    return numbered(matched, ["pos"], "position").select("position", "track_id"), found.where("track_id IS NULL").select("pos", "raw")
 
 
 def appended(playlist: DataFrame, items: DataFrame) -> DataFrame:

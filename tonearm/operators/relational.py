@@ -118,4 +118,6 @@ def disc_track_or_natural(parts: DataFrame) -> DataFrame:
 
 def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
     """Positions of a seeded permutation: the same for the same seed and rows, however they are split over tasks."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)) - 1)
+    from .ordering import numbered
+
+    return numbered(df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))), ["__h", key], "position").drop("__h")
