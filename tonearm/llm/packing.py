@@ -3,7 +3,7 @@
 Tokenised documents are cut only where longer than a sequence.  A packer keeps a fixed number of open
 bins, found through a bitset keyed by free space: the lowest set bit at or above a piece's length is
 the tightest bin that takes it.  Where no open bin takes a piece and all are in use, the fullest bin
-closes first.  Pieces reach a packer longest first, so short ones fill what long ones leave.
+closes first.  Pieces reach a packer in rounds, longest first, so short ones fill what long ones leave.
 
 Null text: the end id alone.  Empty table: no rows.  Rows with equal doc_id are packed each on its own.
 Other columns are ignored.
@@ -83,9 +83,14 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
-def place(pieces: DataFrame, capacity: int = 4096, open_bins: int = 1024, pieces_per_packer: int = 200_000) -> DataFrame:
-    """Packs pieces (doc_id, piece, start, length, ids_crc32), which must be a stored table: they are counted first."""
-    n = max(1, math.ceil(pieces.count() / pieces_per_packer))
+def place(pieces: DataFrame, capacity: int = 4096, open_bins: int = 1024, pieces_per_packer: int = 200_000, pieces_per_round: int = 4096) -> DataFrame:
+    """Packs pieces (doc_id, piece, start, length, ids_crc32), which must be a stored table: they are counted first.
+
+    A packer takes its pieces in rounds by hash, each longest first: few enough bins are open at a time that hardly
+    any closes early, and what a round leaves open the next one fills.
+    """
+    total = pieces.count()
+    n, rounds = max(1, math.ceil(total / pieces_per_packer)), max(1, math.ceil(total / pieces_per_round))
 
     def pack(batches_in):
         bins, base = None, 0
@@ -96,11 +101,12 @@ def place(pieces: DataFrame, capacity: int = 4096, open_bins: int = 1024, pieces
                 bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
             got = [bins.put(x) for x in batch.column("length").to_pylist()]
             at = pa.array([base + b for b, _ in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, at, pa.array([o for _, o in got], pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], at, pa.array([o for _, o in got], pa.int64())], names=[*batch.schema.names[1:], "sequence_id", "offset"])
 
-    rows = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
-    dealt = rows.repartition(n, F.xxhash64("doc_id", "piece")) if n > 1 else rows.coalesce(1)
-    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(pack, PLACED)
+    turn = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(rounds)).alias("turn")
+    rows = pieces.select(turn, "doc_id", "piece", "start", "length", "ids_crc32")
+    dealt = rows.repartition(n, "turn") if n > 1 else rows.coalesce(1)
+    return dealt.sortWithinPartitions("turn", F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(pack, PLACED)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, open_bins: int = 1024) -> DataFrame:
