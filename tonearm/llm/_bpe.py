@@ -10,14 +10,16 @@ Texts with white space beyond space, tab and line ends go to the library whole.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 
 import numpy as np
 import pyarrow as pa
 
-CACHE_CHUNKS = 400_000
-TABLE, PROBES = 1 << 21, 24  # places in the hash table, and steps of a search
+CACHE_CHUNKS = 300_000
+TABLE, PROBES = 1 << 20, 24  # places in the hash table, and steps of a search
 JOINT = 64  # chunks in one string
 _ODD = re.compile(r"[^\S \n\r\t]")
 _WS = np.zeros(256, dtype=bool)
@@ -65,6 +67,17 @@ def hashed_spans(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.n
     return mixed(np.add.reduceat(h, starts) + lens.astype(np.uint64))
 
 
+def release(caches: bool = False) -> None:
+    """Gives freed memory back to the system, and with ``caches`` the encoders' too: workers outlive their tasks."""
+    if caches:
+        _ENCODERS.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class ChunkCache:
     """Ids of chunks, learnt once while they stay in the cache; subclasses cut texts and encode chunks."""
 

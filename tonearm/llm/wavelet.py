@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bpe import batches, encoder
+from ._bpe import batches, encoder, release
 from ._order import ranges_of
 from ._store import open_file, put_file, shared_dir, written
 
@@ -199,7 +199,7 @@ class WaveletMatrix:
         return cur
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, rows_per_shard: int = 4096, tokens_per_file: int = 1 << 22) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, rows_per_shard: int = 4096, tokens_per_file: int = 1 << 21) -> DataFrame:
     """Writes the files and returns their manifest. ``tokens_per_file`` bounds a task's memory: a shard with more gets more files."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "wavelet")
@@ -240,6 +240,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, rows_per_shar
                 at += len(texts)
         if held:
             yield flush()
+        release()
 
     return written(placed.mapInArrow(write, MANIFEST), "wavelet-manifest")
 
@@ -285,6 +286,7 @@ def document_index(manifest: DataFrame) -> DataFrame:
     """Per document, from the files alone: doc_id, global start, length with the end id, checksum."""
 
     def read(batches_in):
+        release(caches=True)
         for batch in batches_in:
             for row in batch.to_pylist():
                 with open_file(row["path"]) as f:
