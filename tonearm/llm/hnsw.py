@@ -254,7 +254,7 @@ def search_index(manifest: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
     tasks = max(1, min(todo.count(), 4096))
-    found = todo.select("path", "file").repartition(tasks, "path", "file").sortWithinPartitions("path").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = todo.select("path", "file").repartition(tasks).sortWithinPartitions("path", "file").mapInArrow(search, "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
