@@ -18,8 +18,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
-CACHE_CHUNKS = 300_000
-TABLE, PROBES = 1 << 20, 24  # places in the hash table, and steps of a search
+CACHE_CHUNKS = 800_000
+TABLE, PROBES = 1 << 21, 24  # places in the hash table, and steps of a search
 JOINT = 64  # chunks in one string
 _ODD = re.compile(r"[^\S \n\r\t]")
 _WS = np.zeros(256, dtype=bool)
@@ -88,7 +88,7 @@ class ChunkCache:
     def _clear(self) -> None:
         self.keys, self.slots, self.used = np.zeros(TABLE, dtype=np.uint64), np.zeros(TABLE, dtype=np.int32), 0
         self.pool, self.pool_n = np.zeros(1 << 20, dtype=self.dtype), 0
-        self.first, self.many = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.first, self.many = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
 
     def _found(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key in the open-addressed table, or -1."""
@@ -162,7 +162,7 @@ class ChunkCache:
         lens = np.diff(starts, append=len(data))
         keys = np.maximum(hashed_spans(data, starts, lens), np.uint64(1))  # 0 marks a free place
         slots = self._slots(keys, data, starts, lens)
-        many = self.many[slots]
+        many = self.many[slots].astype(np.int64)
         total = np.cumsum(many)
         flat = self.pool[np.repeat(self.first[slots] - (total - many), many) + np.arange(total[-1])]
         return flat, np.concatenate([[0], total])[np.searchsorted(starts, ends[1:])]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bpe import batches, encoder
+from ._bpe import batches, encoder, release
 from ._store import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -79,6 +79,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity:
                 at += len(texts)
                 d, p, s, n, c, r = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(r, pa.binary())], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
