@@ -89,7 +89,7 @@ def resolved_album(files: DataFrame, albums: DataFrame, various: str = "Various
 
 def tokens(text: Column) -> Column:
     """Search tokens: lower case runs of letters, digits, ``_`` and ``-``."""
-    return F.filter(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_-]", "")), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s-]", ""), r"\s+"), lambda w: w != "")
 
 
 def search(docs: DataFrame, query: str, id_col: str, text: str, keep: Column | None = None, most: int | None = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
