@@ -6,6 +6,9 @@ an ASCII letter starts a chunk too.  Chunks repeat
 far more often than texts do.  A batch of texts is cut into chunks and hashed in numpy; the library
 encodes each chunk that the cache lacks, many in one call; ids are then gathered from a flat pool.
 Texts with white space beyond space, tab and line ends go to the library whole.
+
+The string of an added token (``<|endoftext|>``) in a text is ordinary characters, or with ``added_tokens``
+that token, as in the library's plain call; texts that hold one then go to the library whole too.
 """
 
 from __future__ import annotations
@@ -192,6 +195,9 @@ class ChunkEncoder(ChunkCache):
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.lib.model._resize_cache(0)
+        added = self.lib.get_added_tokens_decoder().values()
+        strings = "|".join(re.escape(a.content) for a in added) or r"(?!)"
+        self.added = re.compile("" if any(a.normalized for a in added) else strings)  # normalised ones may show in any text
         vocab = self.lib.get_vocab()
         self.leads = not self.lib.model.end_of_word_suffix  # byte-level: a space shows as U+0120
         self.plain = self.lib
@@ -253,8 +259,15 @@ class ChunkEncoder(ChunkCache):
         b, k = self._alone([data[x:y].tobytes().decode() for x, y in zip(starts[rest].tolist(), (starts + lens)[rest].tolist())])
         return np.concatenate([a, b]), np.concatenate([m, k]), np.concatenate([np.flatnonzero(good), rest])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        odd = {i: np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype=self.dtype) for i, t in enumerate(texts) if _ODD.search(t)}
+    def _whole(self, text: str, added_tokens: bool) -> np.ndarray:
+        self.lib.encode_special_tokens = not added_tokens
+        try:
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+        finally:
+            self.lib.encode_special_tokens = True
+
+    def encode(self, texts: list[str], added_tokens: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        odd = {i: self._whole(t, added_tokens) for i, t in enumerate(texts) if _ODD.search(t) or added_tokens and self.added.search(t)}
         flat, stops = self.encode_bytes(*text_bytes(["" if i in odd else t for i, t in enumerate(texts)]))
         if odd:
             parts = np.split(flat, stops[:-1])

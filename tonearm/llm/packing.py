@@ -59,15 +59,18 @@ class OpenBins:
         return bin_id, self.capacity - free
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, keep_ids: bool = True) -> DataFrame:
-    """One row per piece, with its ids as little-endian unsigned 32-bit integers (null without ``keep_ids``) and their CRC-32."""
+def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, keep_ids: bool = True, added_tokens: bool = False) -> DataFrame:
+    """One row per piece, with its ids as little-endian unsigned 32-bit integers (null without ``keep_ids``) and their CRC-32.
+
+    ``added_tokens``: strings of added tokens in a text become those tokens.
+    """
 
     def cut(batches_in):
         enc = encoder(tokenizer)
         for batch in batches_in:
             at = 0
             for texts in batches(batch.column("text")):
-                flat, stops = enc.encode(texts)
+                flat, stops = enc.encode(texts, added_tokens)
                 out, lo = [], 0
                 for j, hi in enumerate(stops.tolist()):
                     ids = np.append(flat[lo:hi], flat.dtype.type(end_id)).astype("<u4")
@@ -110,9 +113,9 @@ def place(pieces: DataFrame, capacity: int = 4096, open_bins: int = 1024, pieces
     return dealt.sortWithinPartitions("turn", F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(pack, PLACED)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, open_bins: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, open_bins: int = 1024, added_tokens: bool = False) -> DataFrame:
     """Tokenises and packs whole documents; returns one row per piece with its place."""
-    return place(written(tokenised_pieces(docs, tokenizer, end_id, capacity, keep_ids=False).drop("ids"), "pieces"), capacity, open_bins)
+    return place(written(tokenised_pieces(docs, tokenizer, end_id, capacity, keep_ids=False, added_tokens=added_tokens).drop("ids"), "pieces"), capacity, open_bins)
 
 
 def sequences(placed: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -33,13 +33,13 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wavelet import document_index, write_shards
 
-    return document_index(write_shards(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0))
+    return document_index(write_shards(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, added_tokens=True))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096, added_tokens=True)
 
 
 def op4_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

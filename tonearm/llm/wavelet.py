@@ -199,8 +199,11 @@ class WaveletMatrix:
         return cur
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, rows_per_shard: int = 4096, tokens_per_file: int = 1 << 21) -> DataFrame:
-    """Writes the files and returns their manifest. ``tokens_per_file`` bounds a task's memory: a shard with more gets more files."""
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, rows_per_shard: int = 4096, tokens_per_file: int = 1 << 21, added_tokens: bool = False) -> DataFrame:
+    """Writes the files and returns their manifest. ``tokens_per_file`` bounds a task's memory: a shard with more gets more files.
+
+    ``added_tokens``: strings of added tokens in a text become those tokens.
+    """
     spark = docs.sparkSession
     folder = shared_dir(spark, "wavelet")
     cut = ranges_of(docs, "doc_id", rows_per_shard)
@@ -223,7 +226,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, rows_per_shar
         for batch in batches_in:
             at = 0
             for texts in batches(batch.column("text")):
-                flat, stops = enc.encode(texts)
+                flat, stops = enc.encode(texts, added_tokens)
                 starts = np.concatenate([[0], stops[:-1]])
                 for j in range(len(texts)):
                     s = batch.column("shard")[at + j].as_py()
