@@ -2,7 +2,7 @@
 
 from types import SimpleNamespace
 
-from tonearm.plans import shapes
+from tonearm.plans import browse, shapes
 
 
 def _distance(a, b):
@@ -29,3 +29,22 @@ def test_every_part_gets_its_best_match(spark):
 def test_zero_durations_are_null_rows(spark):
     got = dict(map(tuple, shapes.duration_text_whole(SimpleNamespace(events=spark.createDataFrame([(0,), (3600,), (300,), (301,), (7,)], "event_id long"))).collect()))
     assert got == {0: None, 3600: None, 300: 300_000, 301: 61_000, 7: None}
+
+
+def test_natural_order_ranks_every_row(spark):
+    rows = [(i, f"Part {n}") for i, n in enumerate([*range(150, 0, -1), "010", "x2", "X10", "x02"])]
+    spark_rows = spark.createDataFrame(rows, "c_custkey long, c_name string")
+    got = sorted((r.r, r.c_custkey) for r in browse.natural_sort_whole(SimpleNamespace(customer=spark_rows)).collect())
+
+    def key(row):
+        tail = row[1][5:].lower()
+        return ("", int(tail)) if tail.isdigit() else ("x", int(tail[1:]))
+
+    assert got == [(k, i) for k, (i, _) in enumerate(sorted(rows, key=lambda r: (key(r), r[0])), 1)]
+
+
+def test_order_without_case_ranks_every_row(spark):
+    rows = [(i, c * 3 if i % 2 else c.upper()) for i, c in enumerate("zyxwvutsrqponmlkjihgfedcba" * 3)]
+    got = sorted((r.r, r.p_partkey) for r in browse.sort_no_case_whole(SimpleNamespace(part=spark.createDataFrame(rows, "p_partkey long, p_name string"))).collect())
+    by_key = sorted(rows)
+    assert got == [(k, i) for k, (i, _) in enumerate(sorted(by_key, key=lambda r: r[1].lower(), reverse=True), 1)]

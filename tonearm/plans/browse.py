@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tonearm.functions import names, text
-from tonearm.operators import analytic, relational
+from tonearm.operators import analytic, ordering, relational
 from tonearm.plans.registry import query
 
 PRESENT = "l_returnflag <> 'R'"
@@ -231,6 +231,12 @@ def sort_no_case(t):
     return t.part.select("p_partkey", "p_name").orderBy(relational.no_case(F.col("p_name")).desc(), "p_partkey").limit(40)
 
 
+@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY lower(p_name) DESC, p_partkey) AS r FROM part")
+def sort_no_case_whole(t):
+    keyed = t.part.select("p_partkey", "p_name", relational.no_case(F.col("p_name")).alias("k"))
+    return ordering.numbered(keyed, [F.desc("k"), F.asc("p_partkey")], "r", 1).select("p_partkey", "p_name", "r")
+
+
 @query("SELECT p_partkey, CASE WHEN p_size > 10 THEN p_size END AS year FROM part ORDER BY year DESC NULLS LAST, p_partkey LIMIT 200")
 def genre_tracks_page(t):
     year = F.when(F.col("p_size") > 10, F.col("p_size")).alias("year")
@@ -258,3 +264,9 @@ def station_sort(t):
 @query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_custkey) r FROM customer) WHERE r <= 60")
 def natural_sort(t):
     return t.customer.orderBy(names.natural_key(F.col("c_name")), "c_custkey").limit(60).select("c_custkey")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_custkey) AS r FROM customer")
+def natural_sort_whole(t):
+    keyed = t.customer.select("c_custkey", names.natural_key(F.col("c_name")).alias("k"))
+    return ordering.numbered(keyed, [F.asc("k"), F.asc("c_custkey")], "r", 1).select("c_custkey", "r")
