@@ -2,7 +2,7 @@
 
 The reader checks every record (gzip member and its checksum, version line, headers, block length,
 record end, block and payload digests).  Where a check fails it searches for the next member or
-version line at which a whole record passes, goes on there, and returns the bytes between as a gap
+version line, whichever comes first, at which a whole record passes, goes on there, and returns the bytes between as a gap
 row with the reason.
 
 Null html: an empty payload.  Null page_id: a record without a page number, always a response unless
@@ -31,6 +31,7 @@ ROWS = (
     "refers_to string, target_uri string, headers map<string,string>, payload_bytes long, payload_digest string, payload binary"
 )
 BROADCAST_ROWS = 100_000
+GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."  # where a member and a record start
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _SCHEMA = pa.schema(
     [("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
@@ -216,22 +217,40 @@ def _member(src: _Bytes, pos: int) -> tuple[list[dict], int]:
     while i < len(data):
         row, i = _parse(lambda p, n: data[p : p + n], len(data), i)
         rows.append(row)
+    if not rows:
+        raise _Bad("empty member")
     return rows, at
 
 
+class _Marks:
+    """Where the next gzip member or version line may start; each mark is searched once over the file."""
+
+    def __init__(self, src: _Bytes):
+        self.src, self.next = src, {GZIP: -1, VERSION: -1}
+
+    def after(self, pos: int) -> int:
+        for what, at in self.next.items():
+            if at < pos:
+                hit = self.src.find(what, pos)
+                self.next[what] = hit if hit >= 0 else self.src.size
+        return min(self.next.values())
+
+
 def salvage(f) -> Iterator[dict]:
     """Record and gap rows of one archive, in file order; every byte is in exactly one of them."""
     src = _Bytes(f)
-    zipped = src.get(0, min(2, src.size)) == b"\x1f\x8b" or not (_VERSION.match(src.get(0, min(16, src.size))) or 0 <= src.find(b"WARC/1.", 0) < 1 << 16)
-    pos, bad_from, why = 0, None, ""
+    marks, pos, bad_from, why = _Marks(src), 0, None, ""
     while pos < src.size:
         try:
-            rows, end = _member(src, pos) if zipped else (lambda r, e: ([r], e))(*_parse(src.get, src.size, pos))
+            if src.get(pos, min(len(GZIP), src.size - pos)) == GZIP:
+                rows, end = _member(src, pos)
+            else:
+                row, end = _parse(src.get, src.size, pos)
+                rows = [row]
         except _Bad as e:
             if bad_from is None:
                 bad_from, why = pos, str(e)
-            nxt = src.find(b"\x1f\x8b\x08" if zipped else b"WARC/1.", pos + 1)
-            pos = nxt if nxt >= 0 else src.size
+            pos = marks.after(pos + 1)
             continue
         if bad_from is not None:
             yield {"kind": "gap", "offset": bad_from, "length": pos - bad_from, "reason": why}
