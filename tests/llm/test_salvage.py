@@ -30,3 +30,34 @@ def test_members_and_plain_records_in_one_file():
 def test_an_empty_member_is_a_gap():
     rows = list(salvage(io.BytesIO(_gzip(b"", 6) + _gzip(_record(0), 6))))
     assert [(r["kind"], r["reason"]) for r in rows] == [("gap", "empty member"), ("record", None)]
+
+
+def test_a_member_with_several_records():
+    a, b, c = _record(0), _record(1), _record(2)
+    whole = _gzip(a + b.replace(b"body 1", b"bodY 1", 1) + c, 6)
+    rows = list(salvage(io.BytesIO(whole + _gzip(a, 6))))
+    assert _ids(rows) == ["urn:page:0", None, "urn:page:2", "urn:page:0"]
+    assert [(r["offset"], r["length"]) for r in rows[:3]] == [(0, len(whole))] * 3
+    assert [(r["inner_offset"], r["inner_length"]) for r in rows[:3]] == [(0, len(a)), (len(a), len(b)), (len(a) + len(b), len(c))]
+    assert rows[1]["reason"] == "block digest differs" and rows[0]["reason"] is None
+
+
+def test_a_cut_off_member_keeps_what_came_out():
+    for level in (0, 6):
+        many = [record("response", f"urn:page:{i}", "http://x", bytes((i * k * k) % 251 for k in range(3000))) for i in range(40)]
+        whole = _gzip(b"".join(many), level)
+        for tail in (b"", _gzip(_record(99), 6)):
+            rows = list(salvage(io.BytesIO(whole[: len(whole) * 3 // 4] + tail)))
+            got = [i for i in _ids(rows) if i]
+            n = len(got) - bool(tail)
+            assert n >= 20 and got == [f"urn:page:{i}" for i in range(n)] + ["urn:page:99"] * bool(tail)
+            assert {r["length"] for r in rows if r["offset"] == 0} == {len(whole) * 3 // 4}
+            assert all(r["reason"] for r in rows if r["offset"] == 0)
+
+
+def test_a_member_with_a_wrong_checksum_keeps_proven_records():
+    whole = bytearray(_gzip(_record(0) + _record(1).replace(b"WARC-Block-Digest", b"X-Digest") + _record(2), 6))
+    whole[-6] ^= 1
+    rows = list(salvage(io.BytesIO(bytes(whole) + _gzip(_record(3), 6))))
+    assert _ids(rows) == ["urn:page:0", None, "urn:page:2", None, "urn:page:3"]
+    assert rows[0]["reason"].startswith("bad member") and rows[1]["reason"] == "no block digest in a bad member" and rows[4]["reason"] is None

@@ -5,6 +5,12 @@ record end, block and payload digests).  Where a check fails it searches for the
 version line, whichever comes first, at which a whole record passes, goes on there, and returns the bytes between as a gap
 row with the reason.
 
+The decompressed bytes of a member are salvaged in the same way: its rows share the member's ``offset`` and
+``length``, ``inner_offset`` and ``inner_length`` are theirs within it.  Of a member that is cut off or fails
+to decompress, what came out before is salvaged too; its records carry the member's fault as ``reason``, as
+digests don't cover headers, and where it fails otherwise than by its end, a record needs a block digest.
+A member without one good record is one gap.
+
 Null html: an empty payload.  Null page_id: a record without a page number, always a response unless
 a numbered page has the same payload.  Equal page_ids with equal payloads are all responses.  An empty
 table writes nothing.  Other columns are ignored.
@@ -18,6 +24,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,14 +34,16 @@ from ._store import open_file, put_file, shared_dir, written
 
 MANIFEST = "path string, records long, bytes long"
 ROWS = (
-    "path string, offset long, length long, kind string, reason string, record_type string, record_id string, "
+    "path string, offset long, length long, inner_offset long, inner_length long, kind string, reason string, record_type string, record_id string, "
     "refers_to string, target_uri string, headers map<string,string>, payload_bytes long, payload_digest string, payload binary"
 )
 BROADCAST_ROWS = 100_000
+CUT_OFF = "member is cut off"
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."  # where a member and a record start
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _SCHEMA = pa.schema(
-    [("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
+    [("path", pa.string())]
+    + [(c, pa.int64()) for c in ("offset", "length", "inner_offset", "inner_length")]
     + [(c, pa.string()) for c in ("kind", "reason", "record_type", "record_id", "refers_to", "target_uri")]
     + [("headers", pa.map_(pa.string(), pa.string())), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
 )
@@ -201,25 +210,102 @@ def _parse(get, size: int | None, pos: int) -> tuple[dict, int]:
     return row, stop + 4
 
 
-def _member(src: _Bytes, pos: int) -> tuple[list[dict], int]:
-    """The records of the gzip member at ``pos`` and where it ends."""
+class _Held:
+    """Reads of bytes in memory, as of a file."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size, self.find = data, len(data), data.find
+
+    def get(self, pos: int, n: int) -> bytes:
+        return self.data[pos : pos + n]
+
+
+def _inflated(src: _Bytes, pos: int) -> tuple[bytes, int | None, str]:
+    """What the gzip member at ``pos`` decompresses to, where it ends (None: broken) and what is wrong."""
     z, out, at = zlib.decompressobj(31), [], pos
     try:
         while not z.eof:
             chunk = src.get(at, min(1 << 16, src.size - at)) if at < src.size else b""
             if not chunk:
-                raise _Bad("member is cut off")
+                return b"".join(out), None, CUT_OFF
             out.append(z.decompress(chunk))
             at += len(chunk) - len(z.unused_data)
+        return b"".join(out), at, ""
     except zlib.error as e:
-        raise _Bad("bad member: " + str(e)[:60]) from None
-    data, rows, i = b"".join(out), [], 0
-    while i < len(data):
-        row, i = _parse(lambda p, n: data[p : p + n], len(data), i)
-        rows.append(row)
-    if not rows:
-        raise _Bad("empty member")
-    return rows, at
+        why = "bad member: " + str(e)[:60]
+    z, out, i = zlib.decompressobj(31), [], pos
+    try:
+        while i < src.size:  # again, and the failing chunk byte by byte
+            chunk = src.get(i, min(1 << 16, at - i) if i < at else 1)
+            out.append(z.decompress(chunk))
+            i += len(chunk)
+    except zlib.error:
+        pass
+    return b"".join(out), None, why
+
+
+def _fed(src: _Bytes, pos: int, n: int) -> int:
+    """The position before which the member at ``pos`` gives its first ``n`` bytes."""
+    z, total = zlib.decompressobj(31), 0
+    while True:
+        before, chunk = z.copy(), src.get(pos, min(4096, src.size - pos))
+        try:
+            got = len(z.decompress(chunk))
+        except zlib.error:
+            break
+        if total + got >= n:
+            break
+        total, pos = total + got, pos + len(chunk)
+    for k in range(len(chunk)):
+        total += len(before.decompress(chunk[k : k + 1]))
+        if total >= n:
+            return pos + k + 1
+    return pos + len(chunk)
+
+
+def _inner(data: bytes, proof: bool) -> Iterator[dict]:
+    """Record and gap rows within a member's bytes; with ``proof`` a record needs a block digest."""
+    src, pos, bad_from, why = _Held(data), 0, None, ""
+
+    def gap(stop):
+        return {"kind": "gap", "inner_offset": bad_from, "inner_length": stop - bad_from, "reason": why}
+
+    while pos < src.size:
+        try:
+            row, end = _parse(src.get, src.size, pos)
+            if proof and not dict(row["headers"]).get("warc-block-digest", "").lower().startswith("sha1:"):
+                raise _Bad("no block digest in a bad member")
+        except _Bad as e:
+            if bad_from is None:
+                bad_from, why = pos, str(e)
+            nxt = src.find(VERSION, pos + 1)
+            pos = nxt if nxt >= 0 else src.size
+            continue
+        if bad_from is not None:
+            yield gap(pos)
+            bad_from = None
+        yield {"kind": "record", "inner_offset": pos, "inner_length": end - pos, "reason": None, **row}
+        pos = end
+    if bad_from is not None:
+        yield gap(src.size)
+
+
+def _member(src: _Bytes, pos: int) -> tuple[Iterator[dict], int | None, int]:
+    """Rows of the gzip member at ``pos``, where it ends (None: broken) and where to search on if it is broken."""
+    data, end, fault = _inflated(src, pos)
+    rows, lead = _inner(data, fault not in ("", CUT_OFF)), []
+    for row in rows:
+        lead.append(row)
+        if row["kind"] == "record":
+            break
+    else:
+        raise _Bad(fault or (lead[0]["reason"] if lead else "empty member"))
+    if end is not None:
+        return chain(lead, rows), end, end
+    held = [r | {"reason": r["reason"] or fault} for r in chain(lead, rows)]
+    good = max(r["inner_offset"] + r["inner_length"] for r in held if r["kind"] == "record")
+    held.append({"kind": "gap", "inner_offset": len(data), "inner_length": 0, "reason": fault})
+    return iter(held), None, _fed(src, pos, good)
 
 
 class _Marks:
@@ -237,29 +323,38 @@ class _Marks:
 
 
 def salvage(f) -> Iterator[dict]:
-    """Record and gap rows of one archive, in file order; every byte is in exactly one of them."""
+    """Record and gap rows of one archive, in file order; every byte is in exactly one of them, or in those of one member."""
     src = _Bytes(f)
-    marks, pos, bad_from, why = _Marks(src), 0, None, ""
+    marks, pos = _Marks(src), 0
+    left: tuple | None = None  # where bytes started that no good end follows yet, and their rows
+
+    def taken(start, rows, stop):
+        for row in rows:
+            yield {"offset": start, "length": stop - start, **row}
+
     while pos < src.size:
         try:
             if src.get(pos, min(len(GZIP), src.size - pos)) == GZIP:
-                rows, end = _member(src, pos)
+                rows, end, onward = _member(src, pos)
             else:
                 row, end = _parse(src.get, src.size, pos)
-                rows = [row]
+                rows = [{"kind": "record", "reason": None, **row}]
         except _Bad as e:
-            if bad_from is None:
-                bad_from, why = pos, str(e)
+            if left is None:
+                left = pos, [{"kind": "gap", "reason": str(e)}]
             pos = marks.after(pos + 1)
             continue
-        if bad_from is not None:
-            yield {"kind": "gap", "offset": bad_from, "length": pos - bad_from, "reason": why}
-            bad_from = None
-        for row in rows:
-            yield {"kind": "record", "offset": pos, "length": end - pos, "reason": None, **row}
-        pos = end
-    if bad_from is not None:
-        yield {"kind": "gap", "offset": bad_from, "length": src.size - bad_from, "reason": why}
+        if left is not None:
+            yield from taken(*left, pos)
+            left = None
+        if end is None:
+            left = pos, rows
+            pos = marks.after(max(pos + 1, onward))
+        else:
+            yield from taken(pos, rows, end)
+            pos = end
+    if left is not None:
+        yield from taken(*left, src.size)
 
 
 def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
