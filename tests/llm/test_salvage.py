@@ -1,6 +1,6 @@
 import io
 
-from tonearm.llm.warc import _gzip, record, salvage
+from tonearm.llm.warc import _gzip, read_archives, record, salvage, write_pages
 
 
 def _record(i, size=50):
@@ -61,3 +61,19 @@ def test_a_member_with_a_wrong_checksum_keeps_proven_records():
     rows = list(salvage(io.BytesIO(bytes(whole) + _gzip(_record(3), 6))))
     assert _ids(rows) == ["urn:page:0", None, "urn:page:2", None, "urn:page:3"]
     assert rows[0]["reason"].startswith("bad member") and rows[1]["reason"] == "no block digest in a bad member" and rows[4]["reason"] is None
+
+
+def test_headers_of_any_length(spark):
+    url = "data:text/html;base64," + "QUJD" * 500_000
+    pages = spark.createDataFrame([(1, url, "<p>x</p>"), (2, "http://b", "y"), (3, url, "<p>x</p>")], "page_id long, url string, html string")
+    for compress in (True, False):
+        rows = read_archives(write_pages(pages, compress=compress)).collect()
+        assert {r.record_id: r.target_uri == url for r in rows} == {"urn:page:1": True, "urn:page:2": False, "urn:page:3": True}
+        assert len(rows) == 3 and {r.kind for r in rows} == {"record"}
+
+
+def test_headers_without_end():
+    a = _record(1)
+    rows = list(salvage(io.BytesIO(b"WARC/1.1\r\nX: " + b"x" * (3 << 20) + b"WARC/1.1\r\nX: y\r\n" * 2000 + a)))
+    assert _ids(rows) == [None, "urn:page:1"]
+    assert [r["kind"] for r in salvage(io.BytesIO(b"WARC/1.1\r\nX: " + b"x" * (3 << 20)))] == ["gap"]

@@ -11,7 +11,7 @@ to decompress, what came out before is salvaged too; its records carry the membe
 digests don't cover headers, and where it fails otherwise than by its end, a record needs a block digest.
 A member without one good record is one gap.
 
-Null html: an empty payload.  Null page_id: a record without a page number, always a response unless
+Values may be of any length.  Null html: an empty payload.  Null page_id: a record without a page number, always a response unless
 a numbered page has the same payload.  Equal page_ids with equal payloads are all responses.  An empty
 table writes nothing.  Other columns are ignored.
 """
@@ -176,8 +176,9 @@ def _parse(get, size: int | None, pos: int) -> tuple[dict, int]:
         end = re.search(rb"\r?\n\r?\n", head)
         if end:
             break
-        if len(head) < n or n >= 1 << 20:
+        if len(head) < n:
             raise _Bad("headers don't end")
+        _headers(head[head.index(b"\n") + 1 : head.rindex(b"\n") + 1])  # junk fails here, before the whole file is read
         n *= 4
     fields = _headers(head[head.index(b"\n") + 1 : end.start()])
     length = fields.get("content-length", "")
