@@ -1,7 +1,8 @@
 """Secret scans with DataFrame functions only.
 
-Base spans come from three patterns (``KINDS``).  The method adds spans: a long run of key characters
-with a letter and a digit is a secret where a character Markov model of random strings explains it
+Base spans come from three patterns (``KINDS``) and are always whole.  The method adds spans: what base
+spans leave of a long run of key characters, if still long and with a letter and a digit or with letters
+of both cases, is a secret where a character Markov model of random strings explains it
 better than one of ordinary identifiers, by mean log-likelihood ratio per transition.  Both models are
 counted from labelled samples; the table of ratios has one entry per pair of characters, so its size
 is fixed by the alphabet.
@@ -123,14 +124,30 @@ def log_ratio(s: Column, table: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), add) / (n - 1)
 
 
+def _apart(runs: Column, base: Column) -> Column:
+    """What base spans, sorted by start, leave of runs."""
+
+    def rest(x):
+        def until(acc, stop):
+            one = F.array(F.struct(acc["at"].alias("start"), F.lit(3).alias("kind"), stop.alias("end")))
+            return F.when(stop > acc["at"], F.concat(acc["out"], one)).otherwise(acc["out"])
+
+        start = F.struct(x["start"].alias("at"), F.array().cast(SPANS).alias("out"))
+        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), until(acc, b["start"]).alias("out"))
+        across = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        return F.aggregate(across, start, step, lambda acc: until(acc, x["end"]))
+
+    return F.flatten(F.transform(runs, rest))
+
+
 def markov_spans(text: Column, base: Column, table: list[float], threshold: float = THRESHOLD) -> Column:
-    """Spans that the Markov models add: no overlap with a base span."""
-    runs = _scan(text, RUN, 20, 3)
+    """Spans that the Markov models add: runs, cut at the base spans (sorted by start)."""
+    runs = F.filter(_apart(_scan(text, RUN, 20, 3), base), lambda x: x["end"] - x["start"] >= 20)
     value = lambda x: F.substr(text, x["start"] + 1, x["end"] - x["start"])
-    mixed = lambda x: F.regexp_like(value(x), F.lit("[0-9]")) & F.regexp_like(value(x), F.lit("[A-Za-z]"))
-    apart = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    kept = F.filter(F.filter(F.filter(runs, mixed), apart), lambda x: log_ratio(value(x), table) > threshold)
-    return _if_any(text, r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20}", kept)
+    has = lambda x, some: F.regexp_like(value(x), F.lit(some))
+    mixed = lambda x: (has(x, "[0-9]") & has(x, "[A-Za-z]")) | (has(x, "[a-z]") & has(x, "[A-Z]"))
+    kept = F.filter(F.filter(runs, mixed), lambda x: log_ratio(value(x), table) > threshold)
+    return _if_any(text, r"[A-Za-z0-9+/_-]{20}", kept)
 
 
 def listed(spans: Column) -> Column:
