@@ -4,9 +4,9 @@
    Each task also counts shingles that repeat among its sets; the sums give an order of all shingles,
    frequent ones last, ties by hash.  Any order is right; this one keeps frequent passages out of prefixes.
 2. A set's prefix, in that order, holds a token of every set it can link with.  Prefix tokens go to
-   buckets by hash, as packed arrays.  A bucket builds its index lists, sorted by set size and position,
-   and skips pairs of list blocks whose sizes or positions rule out the threshold.  A list up to
-   ``LONG`` counts its pairs; longer ones only say which sets belong together (a chain by size).
+   buckets by hash, as packed arrays.  A bucket builds its index lists, sorted by set size and position.
+   A list up to ``LONG`` makes all its pairs and then drops those whose sizes rule out the threshold;
+   longer ones only say which sets belong together (a chain by size).  Lists have no blocks.
    Pair counts are summed over buckets: linked sets share at least as many prefix tokens as their sizes
    and prefixes imply.  What passes, with the chains, joins sets into candidate clusters; no link leaves one.
 3. Each cluster's texts meet (large clusters in pairs of blocks) and all overlaps are computed exactly.
