@@ -159,10 +159,11 @@ def corpus_samples(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     of = lambda pattern, group=0: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
     secret = F.filter(F.concat(of(ASSIGN, 1), of(ACCESS), of(HEX)), lambda s: F.length(s).between(16, 200) & F.regexp_like(s, F.lit("[0-9]")) & F.regexp_like(s, F.lit("[A-Za-z]")))
-    plain = F.filter(of("[A-Za-z0-9+/_-]{12,}"), lambda s: F.length(s) <= 40)
-    marked = F.regexp_like("text", F.lit("|".join(f"(?:{h})" for h in HINTS)))
-    rows = docs.select(text.alias("text")).select(marked.cast("int").alias("label"), F.explode(F.when(marked, secret).otherwise(plain)).alias("sample"))
-    return rows.select("sample", "label")
+    plain = of("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,40}(?![A-Za-z0-9+/_-])")
+    marked = F.regexp_like("text", F.lit(HINTS[0])) | F.regexp_like("text", F.lit(HINTS[1])) | F.regexp_like("text", F.lit(HINTS[2]))
+    rows = docs.select(text.alias("text"))  # read twice: beside an exploded array, the test of the text would run for each entry
+    kept = lambda rows, samples, label: rows.select(F.explode(samples).alias("sample")).select("sample", F.lit(label).alias("label"))
+    return kept(rows.where(marked), secret, 1).unionAll(kept(rows.where(~marked), plain, 0))
 
 
 def _counts(samples: DataFrame) -> list[list[list[int]]]:
