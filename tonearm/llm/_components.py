@@ -12,14 +12,15 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     """(node, root) for every node of ``edges`` (a, b: long) but the roots; root is the component's least node.
 
     Each round moves edges to smaller ends and is stored, so rounds don't build on each other's plans;
-    a hub's edges are summed before they are shuffled.  Rounds grow with the logarithm of the size.
+    a hub's edges are summed before they are shuffled.  Rounds grow with the logarithm of the size; where
+    ``most_rounds`` don't suffice, an error is raised.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = written(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), name)
     mark = _mark(now)
+    if not mark[0]:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most_rounds):
-        if not mark[0]:
-            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct(), name)
@@ -29,6 +30,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         last, mark = mark, _mark(now)
         if mark == last:
             break
+    else:
+        raise RuntimeError(f"components don't settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -4,18 +4,24 @@
    Each task also counts shingles that repeat among its sets; the sums give an order of all shingles,
    frequent ones last, ties by hash.  Any order is right; this one keeps frequent passages out of prefixes.
 2. A set's prefix, in that order, holds a token of every set it can link with.  Prefix tokens go to
-   buckets by hash, as packed arrays.  A bucket builds its index lists, sorted by set size and position.
-   A list up to ``LONG`` makes all its pairs and then drops those whose sizes rule out the threshold;
-   longer ones only say which sets belong together (a chain by size).  Lists have no blocks.
-   Pair counts are summed over buckets: linked sets share at least as many prefix tokens as their sizes
-   and prefixes imply.  What passes, with the chains, joins sets into candidate clusters; no link leaves one.
-3. Each cluster's texts meet (large clusters in pairs of blocks) and all overlaps are computed exactly.
-   A set without a similar leader becomes one and gets its overlaps from the index; a set similar to a
-   leader derives its overlaps from the leader's, through the tokens in which the two differ.
+   buckets by hash, as packed arrays.  A bucket builds its index lists.  A list is cut into blocks of equal
+   set size, each by position.  The earlier an entry lies in its set, the larger the sets it may link with: from each
+   entry's size and position follows the last block that it reaches, and what lies beyond is skipped before any pair is built.
+   Lists with up to ``LONG`` / 2 pairs an entry left give these pairs; longer ones only say which sets belong together
+   (a chain along reached entries).  Pair counts are summed over buckets: of linked sets, at least as many prefix tokens
+   meet within reach as their sizes imply.  What passes, with the chains, joins sets into candidate clusters; no link leaves one.
+3. Each cluster's texts meet and overlaps are computed exactly.  A set without a similar leader becomes one and
+   gets its overlaps from the index; a set similar to a leader derives its overlaps from the leader's, through the tokens
+   in which the two differ.  A cluster beyond ``BLOCK_SHINGLES`` is cut into blocks that are joined each on its own, then
+   the least set of every group found so meets others of its kind, and what is still outside the cluster's largest
+   group meets everything, in pairs of blocks.  So copies in great number cost one pass; only the rest is sent out repeatedly.
 4. Links give components; a component's id is its least doc_id.
 
 Null or wordless text: size 0, linked with nothing.  A row with a null doc_id joins the component of
-rows with an equal set, or has a null component_id.  Copies are never expanded into pairs.
+rows with an equal set, or has a null component_id.  Rows that repeat a doc_id each get a result; where their texts differ, a link
+of either counts for both.  Copies are never expanded into pairs.  Texts of any length are taken whole.  Ties: a
+component's least doc_id.  An empty table gives none.  Columns other than doc_id and text are ignored
+(``deduplicated`` keeps them).  64-bit hashes stand for shingles and sets; no slack is kept for two that collide.
 """
 
 from __future__ import annotations
@@ -36,7 +42,8 @@ HOT = 8  # counted at least so often: ordered last
 HOT_MOST = 1 << 18  # size of the order table; rarer shingles keep their place by hash
 LONG = 64
 BUCKET_POSTINGS = 1_500_000
-BLOCK_SHINGLES = 400_000
+PAIRS_AT_ONCE = 2_000_000
+BLOCK_SHINGLES = 32_000
 BROADCAST_ROWS = 1_000_000
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
@@ -128,7 +135,39 @@ class Order:
         return np.concatenate([cold, s[at[np.argsort(self.sort[place], kind="stable")]]])[:p]
 
 
-POSTINGS = "bucket int, sids binary, sizes binary, many binary, tokens binary, places binary"
+POSTINGS = "bucket int, sids binary, sizes binary, lost binary, many binary, tokens binary, places binary"
+
+
+def _packed(values: np.ndarray, heads: np.ndarray) -> pa.Array:
+    """One binary value for each run of ``values`` that starts at ``heads``."""
+    ends = (np.append(heads, len(values)) * values.itemsize).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def packed_postings(prefixes: list[np.ndarray], sids: list[int], sizes: list[int], buckets: int) -> pa.RecordBatch:
+    """One row per bucket: its sets, how many tokens each has there, and these tokens' low halves and places.
+
+    ``lost``: how many tokens of a set's prefix share bucket and low half with another one of it.
+    """
+    tok, n = np.concatenate(prefixes), np.array([len(x) for x in prefixes])
+    doc = np.repeat(np.arange(len(n)), n)
+    place = np.minimum(np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n), 65535).astype("<u2")
+    bucket = ((tok >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    low = (tok & np.uint64(0xFFFFFFFF)).astype("<u4")
+    same = np.lexsort((low, bucket, doc))
+    twice = (doc[same][1:] == doc[same][:-1]) & (bucket[same][1:] == bucket[same][:-1]) & (low[same][1:] == low[same][:-1])
+    lost = np.bincount(doc[same][1:][twice], minlength=len(n)).astype("<i4")
+    by = np.argsort(bucket, kind="stable")  # a bucket's tokens stay in order of set
+    bucket, owner = bucket[by], doc[by]
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = bucket[1:] != bucket[:-1]
+    starts = np.flatnonzero(new)
+    new[1:] |= owner[1:] != owner[:-1]
+    runs = np.flatnonzero(new)
+    at, who = np.searchsorted(runs, starts), owner[runs]
+    columns = [_packed(x[who], at) for x in (np.array(sids, dtype="<i8"), np.array(sizes, dtype="<i4"), lost)]
+    columns += [_packed(np.diff(runs, append=len(by)).astype("<i4"), at), _packed(low[by], starts), _packed(place[by], starts)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), *columns], names=["bucket", "sids", "sizes", "lost", "many", "tokens", "places"])
 
 
 def postings(docs: DataFrame, table: np.ndarray, buckets: int, flush: int = 1_500_000) -> DataFrame:
@@ -136,43 +175,22 @@ def postings(docs: DataFrame, table: np.ndarray, buckets: int, flush: int = 1_50
 
     def run(batches_in):
         order, seen = Order(table), set()
-        toks, sids, sizes, lens, total = [], [], [], [], 0
-
-        def out():
-            tok = np.concatenate(toks)
-            n = np.array(lens)
-            doc = np.repeat(np.arange(len(n)), n)
-            place = np.minimum(np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n), 65535).astype("<u2")
-            bucket = ((tok >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            by = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            low, all_sids, all_sizes = (tok & np.uint64(0xFFFFFFFF)).astype("<u4"), np.array(sids, dtype="<i8"), np.array(sizes, dtype="<i4")
-            for b in range(buckets):
-                own = by[cut[b] : cut[b + 1]]
-                if len(own):
-                    docs_here, many = np.unique(doc[own], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (all_sids[docs_here], all_sizes[docs_here], many.astype("<i4"), low[own], place[own]))],
-                        names=["bucket", "sids", "sizes", "many", "tokens", "places"],
-                    )
-
+        pre, sids, sizes, total = [], [], [], 0
         for part in _slices(batches_in):
             for s in shingles([t or "" for t in part.column("text").to_pylist()]):
                 sid = set_hash(s)
                 if not len(s) or sid in seen:
                     continue
                 seen.add(sid)
-                pre = order.prefix(s, prefix_length(len(s)))
-                toks.append(pre)
+                pre.append(order.prefix(s, prefix_length(len(s))))
                 sids.append(sid)
                 sizes.append(len(s))
-                lens.append(len(pre))
-                total += len(pre)
+                total += len(pre[-1])
             if total > flush:
-                yield from out()
-                toks, sids, sizes, lens, total = [], [], [], [], 0
-        if toks:
-            yield from out()
+                yield packed_postings(pre, sids, sizes, buckets)
+                pre, sids, sizes, total = [], [], [], 0
+        if pre:
+            yield packed_postings(pre, sids, sizes, buckets)
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, POSTINGS)
 
@@ -194,62 +212,67 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[lab[own]]
 
 
-def list_pairs(tok, sid, n, place):
-    """Of one bucket: (a, b, shared, na, nb, first) of pairs in short lists, and chain edges of long ones.
+def reached(tok, n, place):
+    """For each entry of lists sorted by token, size and position: the end of the entries that it reaches.
+
+    Sets x and y, x not larger, with an overlap of o >= need = ceil(3 (|x| + |y|) / 7) have their first need - ceil(3|y|/4) + 1
+    common tokens at places p of x with |x| - p >= o - (need - ceil(3|y|/4)) >= ceil(3|y|/4).  So an entry needs no set
+    larger than 4 (|x| - p) / 3: blocks of larger sets are skipped, and more of them the later the entry lies.
+    """
+    lists = np.cumsum(np.concatenate([[0], tok[1:] != tok[:-1]])).astype(np.int64) << 32
+    return np.searchsorted(lists | n, lists | (4 * (n - place) // 3), side="right")
+
+
+def list_pairs(tok, sid, n, place, lost):
+    """Of one bucket: pairs within reach, in pieces, (a, b, shared, na, nb, first, slack); last the chain edges of long lists.
 
-    Lists are sorted by size, then position.  A pair is skipped where sizes rule it out; ``first`` says
-    whether some shared token lies early enough in both to be their first one in common.
+    ``first`` says whether some shared token lies early enough in both to be their first one in common, ``slack`` how many
+    tokens two sets may share beyond those counted.
     """
     order = np.lexsort((sid, place, n, tok))
-    tok, sid, n, place = tok[order], sid[order], n[order], place[order]
+    tok, sid, n, place, lost = tok[order], sid[order], n[order], place[order], lost[order]
     starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
     size = np.diff(starts, append=len(tok))
-    pairs = []
-    for m in range(2, LONG + 1):
-        at = starts[size == m]
-        if not len(at):
+    end = reached(tok, n, place)
+    here = np.arange(len(tok))
+    many = np.maximum(end - here - 1, 0)
+    few = 2 * np.add.reduceat(many, starts) <= LONG * size
+    own = np.repeat(few, size)
+    x_all = here[own & (many > 0)]
+    cuts = np.searchsorted(np.cumsum(many[x_all]), np.arange(PAIRS_AT_ONCE, int(many[x_all].sum()) + PAIRS_AT_ONCE, PAIRS_AT_ONCE), side="left") + 1
+    for xs in np.split(x_all, np.unique(np.minimum(cuts, len(x_all)))):
+        if not len(xs):
             continue
-        i, j = np.triu_indices(m, 1)
-        for c in range(0, len(at), max(1, 2_000_000 // len(i))):
-            base = at[c : c + max(1, 2_000_000 // len(i)), None]
-            x, y = (base + i).ravel(), (base + j).ravel()
-            fit = (4 * n[x] >= 3 * n[y]) & (sid[x] != sid[y])
-            x, y = x[fit], y[fit]
-            most = np.minimum(n[x] - place[x], n[y] - place[y])
-            first = 7 * most >= 3 * (n[x] + n[y])
-            flip = sid[x] > sid[y]
-            a, b = np.where(flip, y, x), np.where(flip, x, y)
-            pairs.append(np.stack([sid[a], sid[b], n[a], n[b], first.astype(np.int64)]))
-    chain_a, chain_b = [], []
-    for at, m in zip(starts[size > LONG].tolist(), size[size > LONG].tolist()):
-        s, k = sid[at : at + m], n[at : at + m]
-        near = 4 * k[:-1] >= 3 * k[1:]
-        chain_a.append(s[:-1][near])
-        chain_b.append(s[1:][near])
-    if pairs:
-        p = np.concatenate(pairs, axis=1)
-        by = np.lexsort((p[1], p[0]))
-        p = p[:, by]
-        head = np.flatnonzero(np.concatenate([[True], (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])])) if p.shape[1] else np.zeros(0, int)
-        shared = np.diff(head, append=p.shape[1])
-        first = np.maximum.reduceat(p[4], head) if len(head) else np.zeros(0, np.int64)
-        found = (p[0, head], p[1, head], shared, p[2, head], p[3, head], first)
-    else:
-        found = tuple(np.zeros(0, np.int64) for _ in range(6))
-    chain = _forest(np.concatenate(chain_a), np.concatenate(chain_b)) if chain_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return found, chain
+        k = many[xs]
+        x = np.repeat(xs, k)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+        first = 7 * np.minimum(n[x] - place[x], n[y] - place[y]) >= 3 * (n[x] + n[y])
+        flip = sid[x] > sid[y]
+        a, b = np.where(flip, y, x), np.where(flip, x, y)
+        by = np.lexsort((sid[b], sid[a]))
+        a, b, first = a[by], b[by], first[by]
+        heads = np.flatnonzero(np.concatenate([[True], (sid[a][1:] != sid[a][:-1]) | (sid[b][1:] != sid[b][:-1])]))
+        a, b = a[heads], b[heads]
+        yield sid[a], sid[b], np.diff(heads, append=len(by)), n[a], n[b], np.maximum.reduceat(first.astype(np.int64), heads), np.minimum(lost[a], lost[b])
+    wide = np.where(own, 0, end)
+    on = np.flatnonzero(np.maximum.accumulate(wide)[:-1] > here[1:])  # entries reach into their own list only
+    yield _forest(sid[on], sid[on + 1]) if len(on) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+PAIRS = ["a", "b", "shared", "na", "nb", "first", "slack"]
 
 
 def candidate_edges(packed: DataFrame, buckets: int) -> DataFrame:
     """(a, b) set hashes that belong to one cluster."""
 
     def run(batches_in):
-        cols = {k: [] for k in ("bucket", "sid", "n", "tok", "place")}
+        cols = {k: [] for k in ("bucket", "sid", "n", "lost", "tok", "place")}
         for batch in batches_in:
             for r in batch.to_pylist():
                 many = np.frombuffer(r["many"], dtype="<i4")
                 cols["sid"].append(np.repeat(np.frombuffer(r["sids"], dtype="<i8"), many))
                 cols["n"].append(np.repeat(np.frombuffer(r["sizes"], dtype="<i4"), many).astype(np.int64))
+                cols["lost"].append(np.repeat(np.frombuffer(r["lost"], dtype="<i4"), many).astype(np.int64))
                 cols["tok"].append(np.frombuffer(r["tokens"], dtype="<u4"))
                 cols["place"].append(np.frombuffer(r["places"], dtype="<u2").astype(np.int64))
                 cols["bucket"].append(np.full(int(many.sum()), r["bucket"], dtype=np.int64))
@@ -266,20 +289,16 @@ def candidate_edges(packed: DataFrame, buckets: int) -> DataFrame:
         by, key = by[multi], key[multi]
         if not len(by):
             return
-        (a, b, shared, na, nb, first), (u, v) = list_pairs(key, c["sid"][by], c["n"][by], c["place"][by])
-        one = lambda x, t=pa.int64(): pa.array(x, t)
-        for i in range(0, len(a), 100_000):
-            k = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([one(a[k]), one(b[k]), one(shared[k]), one(na[k]), one(nb[k]), one(first[k])], names=["a", "b", "shared", "na", "nb", "first"])
-        for i in range(0, len(u), 100_000):
-            k = slice(i, i + 100_000)
-            none = pa.nulls(len(u[k]), pa.int64())
-            yield pa.RecordBatch.from_arrays([one(u[k]), one(v[k]), none, none, none, none], names=["a", "b", "shared", "na", "nb", "first"])
-
-    found = written(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "a long, b long, shared long, na long, nb long, first long"), "join-pairs")
-    summed = found.where("shared IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("first").alias("first"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        for found in list_pairs(key, c["sid"][by], c["n"][by], c["place"][by], c["lost"][by]):
+            for i in range(0, len(found[0]), 100_000):
+                piece = [pa.array(x[i : i + 100_000], pa.int64()) for x in found]
+                yield pa.RecordBatch.from_arrays(piece + [pa.nulls(len(piece[0]), pa.int64())] * (len(PAIRS) - len(piece)), names=PAIRS)
+
+    found = written(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, ", ".join(f"{c} long" for c in PAIRS)), "join-pairs")
+    same = [F.first(c).alias(c) for c in ("na", "nb", "slack")]
+    summed = found.where("shared IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("first").alias("first"), *same)
     need = F.ceil(F.lit(3) * (F.col("na") + F.col("nb")) / 7)
-    least = F.greatest(F.lit(1), F.least(*[need - F.ceil(F.lit(3) * F.col(c) / 4) for c in ("na", "nb")]))  # one less than implied: 32-bit tokens of a set may collide
+    least = F.greatest(F.lit(1), need - F.ceil(F.lit(3) * F.greatest("na", "nb") / 4) + 1 - F.col("slack"))
     passed = summed.where((F.col("first") == 1) & (F.col("shared") >= least)).select("a", "b")
     return passed.unionByName(found.where("shared IS NULL").select("a", "b"))
 
@@ -336,14 +355,9 @@ def join_cluster(sets: list[np.ndarray]) -> np.ndarray:
     return lab
 
 
-def verified_links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b) doc_ids that link, as spanning forests. ``members``: doc_id, cluster, n; a stored table."""
-    total = members.groupBy("cluster").agg(F.sum("n").alias("t"))
-    parts = F.ceil(F.col("t") / BLOCK_SHINGLES).cast("int")
-    placed = members.join(total.select("cluster", parts.alias("parts")), "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (j != F.col("block")) | (F.col("parts") == 1))
-    jobs = placed.select("doc_id", "cluster", F.explode(F.transform(others, lambda j: F.struct(F.least(j, "block").alias("i"), F.greatest(j, "block").alias("j")))).alias("job"))
-    todo = written(jobs.select("doc_id", "cluster", "job.i", "job.j"), "join-jobs")
+def linked_within(docs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(a, b) doc_ids that link within a job, as spanning forests. ``jobs``: doc_id, cluster, i, j, a row for each job of a document."""
+    todo = written(jobs.select("doc_id", "cluster", "i", "j"), "join-jobs")
     small = todo.count() <= BROADCAST_ROWS
     texts = _texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").join(F.broadcast(todo) if small else todo, "doc_id")
     dealt = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
@@ -369,7 +383,47 @@ def verified_links(docs: DataFrame, members: DataFrame) -> DataFrame:
         if edges:
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
-    return dealt.select("doc_id", "text", "cluster", "i", "j").mapInArrow(run, "a long, b long")
+    return written(dealt.select("doc_id", "text", "cluster", "i", "j").mapInArrow(run, "a long, b long"), "join-links")
+
+
+def _blocks(total: str):
+    return F.ceil(F.col(total) / BLOCK_SHINGLES).cast("int")
+
+
+def _dealt(parts: str, salt: int):
+    return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(parts)).cast("int")
+
+
+def verified_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b) doc_ids that link, as spanning forests. ``members``: doc_id, cluster, n; a stored table."""
+    sums = written(members.groupBy("cluster").agg(F.sum("n").alias("t")).select("cluster", _blocks("t").alias("parts")), "join-sums")
+    block = _dealt("parts", 0)
+    links = linked_within(docs, members.join(sums, "cluster").select("doc_id", "cluster", block.alias("i"), block.alias("j")))
+    large = members.join(sums.where("parts > 1"), "cluster").select("doc_id", "cluster", "n")
+    if large.isEmpty():
+        return links
+
+    def grouped(found, name):
+        roots = components(found, name).withColumnRenamed("node", "doc_id")
+        return written(large.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), name)
+
+    heads = grouped(links, "join-groups").where("root = doc_id")
+    many = heads.groupBy("cluster").agg(F.sum("n").alias("t")).select("cluster", _blocks("t").alias("parts"))
+    block = _dealt("parts", 1)
+    links = links.unionByName(linked_within(docs, heads.join(many, "cluster").select("doc_id", "cluster", block.alias("i"), block.alias("j"))))
+    now = grouped(links, "join-groups")
+    groups = now.groupBy("cluster", "root").agg(F.sum("n").alias("t"))
+    main = groups.groupBy("cluster").agg(F.max_by("root", F.struct("t", "root")).alias("main"), F.max("t").alias("tm"), (F.sum("t") - F.max("t")).alias("tr")).where("tr > 0")
+    split = now.join(main.select("cluster", "main", _blocks("tm").alias("pm"), _blocks("tr").alias("pr")), "cluster")
+    if split.isEmpty():
+        return links
+    rest = split.where("root <> main").withColumn("r", _dealt("pr", 2))
+    spread = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    core = split.where("root = main").select("doc_id", "cluster", _dealt("pm", 2).alias("i"), spread("pr").alias("j"))
+    beside = rest.select("doc_id", "cluster", spread("pm").alias("i"), F.col("r").alias("j"))
+    others = F.filter(F.sequence(F.lit(0), F.col("pr") - 1), lambda q: q != F.col("r"))  # a block with itself has met beside the core
+    among = rest.select("doc_id", "cluster", "r", F.explode(others).alias("q")).select("doc_id", "cluster", (-1 - F.least("r", "q")).alias("i"), F.greatest("r", "q").alias("j"))
+    return links.unionByName(linked_within(docs, core.unionByName(beside).unionByName(among)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -385,7 +439,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     clusters = components(ends, "join-clusters")
     inside = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("rep"), F.col("root").alias("cluster")).distinct())
     members = written(inside.join(reps.select("rep", "n"), "rep").select(F.col("rep").alias("doc_id"), "cluster", "n"), "join-members")
-    found = components(written(verified_links(docs, members), "join-links"), "join-components")
+    found = components(verified_links(docs, members), "join-components")
     ids = written(reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("root", "rep").alias("component_id")), "join-ids")
     whole = sets.where("n > 0").join(ids, "sid").select("doc_id", "n", "component_id")
     return whole.unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
