@@ -42,7 +42,7 @@ def consolidated(albums: DataFrame, tracks: DataFrame, most_rounds: int = 40) ->
     """(album_id, survivor): albums joined through (title key, artist key) or (title key, folder); the least id survives.
 
     ``albums``: id, title_key, artist_key; ``tracks``: album_id, folder.  Albums without tracks are left out.
-    Each round lowers labels through shared keys and checkpoints, until nothing changes.
+    Each round lowers labels through shared keys and is stored, until nothing changes; an error if ``most_rounds`` don't suffice.
     """
     live = albums.join(tracks.select(F.col("album_id").alias("id")).distinct(), "id", "left_semi")
     by_artist = live.select("id", F.concat_ws("\x1f", F.lit("a"), "title_key", F.coalesce("artist_key", F.lit(""))).alias("k"))
@@ -58,6 +58,8 @@ def consolidated(albums: DataFrame, tracks: DataFrame, most_rounds: int = 40) ->
         label = new
         if moved:
             break
+    else:
+        raise RuntimeError(f"labels don't settle in {most_rounds} rounds")
     links.unpersist()
     return label.select(F.col("id").alias("album_id"), F.col("root").alias("survivor"))
 
@@ -95,25 +97,21 @@ def tokens(text: Column) -> Column:
 def search(docs: DataFrame, query: str, id_col: str, text: str, keep: Column | None = None, most: int | None = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Prefix search: every query token must start some word; ranked by BM25; cut to ``most`` and only then filtered by ``keep``.
 
-    Only words that match reach a shuffle; document count and mean length come from one aggregation.
+    Texts are read once: each document's length and counts are stored, and all totals come from that table.
     """
     wanted = list(dict.fromkeys(t for t in ("".join(c for c in w if c.isalnum() or c in "_-") for w in query.lower().split()) if t))
     if not wanted:
         raise ValueError("empty query")
-    sized = docs.select(id_col, tokens(F.col(text)).alias("__t"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("__t")).alias("len")).first()
-    n, mean = stats["n"], stats["len"] or 1.0
-
-    def matching(q: str) -> Column:
-        return F.size(F.filter("__t", lambda w: F.startswith(w, F.lit(q))))  # a second lambda parameter would be the index
-
-    counts = [matching(q).alias(f"c{i}") for i, q in enumerate(wanted)]
-    hits = sized.select(id_col, F.size("__t").alias("len"), *counts)
-    df = hits.agg(*[F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in range(len(wanted))]).first()
+    matching = lambda q: F.size(F.filter("__t", lambda w: F.startswith(w, F.lit(q))))
+    sized = docs.select(id_col, tokens(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
+    hits = cut(sized.select(id_col, F.size("__t").alias("len"), *[matching(q).alias(f"c{i}") for i, q in enumerate(wanted)]))
+    found = [F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in range(len(wanted))]
+    df = hits.agg(F.count("*").alias("n"), F.avg("len").alias("len"), *found).first()
+    n, mean = df["n"], df["len"] or 1.0
     score = F.lit(0.0)
     for i in range(len(wanted)):
         c = F.col(f"c{i}")
-        idf = F.log(F.lit(1.0 + (n - df[i] + 0.5) / (df[i] + 0.5)))
+        idf = F.log(F.lit(1.0 + (n - df[f"d{i}"] + 0.5) / (df[f"d{i}"] + 0.5)))
         score = score + idf * c * (k1 + 1) / (c + k1 * (1 - b + b * F.col("len") / mean))
     every = F.lit(True)
     for i in range(len(wanted)):

@@ -116,8 +116,29 @@ def disc_track_or_natural(parts: DataFrame) -> DataFrame:
     return keyed.withColumn("part_index", F.row_number().over(book.orderBy(key, "path")) - 1).drop("__tagged", "__n")
 
 
-def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
-    """Positions of a seeded permutation: the same for the same seed and rows, however they are split over tasks."""
+def shuffled(df: DataFrame, seed: int, key: str, current=None) -> DataFrame:
+    """Positions of a seeded permutation: the same for the same seed and rows, however they are split over tasks.
+
+    The row whose key is ``current`` comes first, so what is playing goes on.
+    """
     from .ordering import numbered
 
-    return numbered(df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))), ["__h", key], "position").drop("__h")
+    playing = F.lit(1) if current is None else F.when(F.col(key) == current, 0).otherwise(1)
+    return numbered(df.withColumn("__c", playing).withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))), ["__c", "__h", key], "position").drop("__c", "__h")
+
+
+def optional(value, condition: Column) -> Column:
+    """A filter that holds for all rows where no value is given (null, empty or 0)."""
+    return condition if value else F.lit(True)
+
+
+def contains_text(c: Column, text: str) -> Column:
+    """Contains-search without regard to ASCII case in which ``%`` and ``_`` of the text stand for themselves."""
+    return F.contains(ascii_lower(c), F.lit("".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text)))
+
+
+def filtered(df: DataFrame, conditions: list[tuple[object, Column]]) -> DataFrame:
+    """All conditions whose value is given, joined by AND: (value, condition) pairs."""
+    for value, condition in conditions:
+        df = df.where(optional(value, condition))
+    return df

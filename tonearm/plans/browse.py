@@ -255,10 +255,12 @@ def top_k(t):
 
 @query("""SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_nationkey % 4 = 0 THEN NULL ELSE upper(trim(s_name)) END NULLS LAST, s_acctbal DESC, s_suppkey) AS r FROM supplier""")
 def station_sort(t):
-    from pyspark.sql import Window
+    """Ranks by ranges of the order, not in one task; unknown codecs last."""
+    from tonearm.operators.ordering import numbered
 
     codec = F.when(F.col("s_nationkey") % 4 != 0, F.upper(F.trim("s_name")))
-    return t.supplier.select("s_suppkey", F.row_number().over(Window.orderBy(codec.asc_nulls_last(), F.desc("s_acctbal"), "s_suppkey")).cast("long").alias("r"))
+    keyed = t.supplier.select("s_suppkey", codec.isNull().alias("unknown"), codec.alias("codec"), (-F.col("s_acctbal")).alias("least"))
+    return numbered(keyed, ["unknown", "codec", "least", "s_suppkey"], "r", 1).select("s_suppkey", "r")
 
 
 @query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_custkey) r FROM customer) WHERE r <= 60")
