@@ -1,7 +1,8 @@
 """Shared storage: tables that cut lineage, and plain files that executors write and read.
 
-Everything lives under the folder the session names in ``spark.checkpoint.dir``.  Only where that
-is unset (tests, a laptop) does a temporary folder take its place.
+Everything lives under the folder the session names in ``spark.checkpoint.dir``.  Where that is unset, a
+temporary folder takes its place in a local session; on a cluster that is an error.  Tables go through Spark's own
+file systems; plain files (``put_file``, ``get_file``) through pyarrow's: local paths, hdfs, s3, gs and abfs addresses.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared one; the folder itself is made by its first writer."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tonearm-")

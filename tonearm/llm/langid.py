@@ -6,8 +6,11 @@ of each bit's margin, weighted by how well that bit did in cross-validation; the
 A small gap between the two best flags the text as ambiguous.
 
 Null text and texts without a letter: ``und``, score 0.  Training takes at most ``per_language``
-documents of each language (those of least hash) and ``max_rows`` in all; rows with a null doc_id, a
-null language or no letters teach nothing.  Without any training row every text is ``und``.
+documents of each language (those of least hash) and ``max_rows`` in all, so of more than ``max_rows`` / 2
+languages those with the most documents; rows with a null doc_id, a null language or no letters teach
+nothing.  Without any training row, as in an empty table, every text is ``und``.  Texts of any length are taken whole.
+Rows that repeat are predicted each on its own; a doc_id that repeats teaches with up to ``max_rows`` more rows in all.
+Ties go to the language first in order.  Columns other than doc_id, text and lang are ignored (``accepted`` keeps them).
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import written
+
 DIM = 1 << 13
 UNDETERMINED = "und"
-_LETTER = np.zeros(1 << 17, dtype=bool)
-_LETTER[[i for i in range(1 << 17) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()]] = True
+_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def has_letter(text: str | None) -> bool:
@@ -34,7 +38,7 @@ def counts(texts: list[str]) -> np.ndarray:
     low = [t.lower() for t in texts]
     code = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     doc = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
-    letter = _LETTER[np.minimum(code, (1 << 17) - 1)]
+    letter = _LETTER[code]
     edge = np.zeros(len(code), dtype=bool)
     edge[np.cumsum([len(t) + 1 for t in low]) - 1] = True
     keep = letter.copy()
@@ -111,8 +115,8 @@ class OutputCodes:
 
 
 def training_ids(docs: DataFrame, per_language: int, max_rows: int) -> dict[str, list[int]]:
-    """Ids of the sample: per language those of least hash. One pass counts, one filters; only the sample reaches the driver."""
-    many = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    """Ids of the sample: per language those of least hash; only the sample and its languages' counts reach the driver. ``docs``: doc_id, lang."""
+    many = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, max_rows // 2)).collect()}
     if not many:
         return {}
     each = max(2, min(per_language, max_rows // len(many)))
@@ -130,7 +134,7 @@ def training_ids(docs: DataFrame, per_language: int, max_rows: int) -> dict[str,
 def fit(docs: DataFrame, per_language: int = 400, max_rows: int = 2400) -> OutputCodes:
     """Learns from ``docs`` (doc_id, text, lang), from at most ``max_rows`` of them."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
-    ids = training_ids(known, per_language, max_rows)
+    ids = training_ids(written(known.select("doc_id", "lang"), "lang-known"), per_language, max_rows)  # texts are read once for this
     wanted = sorted({i for v in ids.values() for i in v})
 
     def run(batches_in):
