@@ -4,6 +4,12 @@ Stages, each over all that the one before kept: the quality classifier and langu
 the n-gram Jaccard join keeps one document of each group of near duplicates, the secret scan masks
 secrets in the text, best-fit packing lays what is left into sequences.  Each stage's result is stored
 and read again, so no stage depends on another's plan or executors.
+
+Odd rows: quality scores null and empty texts as empty ones; language drops them, as they have no letter, and fills a
+null lang.  Rows that repeat with one doc_id become one where duplicates are dropped; rows with a null doc_id all stay.
+A null text stays null where secrets are masked and is a document of its end token alone where it is packed.  Texts
+of any length are taken whole.  An empty table gives an empty result at every stage.  Every stage returns the
+columns of documents alone, whatever other ones it is given; the last one returns what packing returns.
 """
 
 from __future__ import annotations
