@@ -88,5 +88,14 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: A page's payload, its SHA-1 as bits, and these in fives as base32 letters.
+OP1_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload) AS n, max(page_id) OVER (PARTITION BY payload) AS keeper,
+array_to_string([lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0') for c in string_split(sha1(payload), '')], '') AS bits FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, i, 1) AS INT) + 8 * CAST(substr(bits, i + 1, 1) AS INT)
++ 4 * CAST(substr(bits, i + 2, 1) AS INT) + 2 * CAST(substr(bits, i + 3, 1) AS INT) + CAST(substr(bits, i + 4, 1) AS INT), 1) for i in range(1, 161, 5)], '') AS payload_digest,
+CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_salvage": OP1_SQL}
