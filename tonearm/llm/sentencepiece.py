@@ -12,7 +12,11 @@ Characters outside the vocabulary become byte pieces (or the unknown piece).  Te
 bytes that adjoin in no piece, and the parts are cached, as their splits don't depend on each other.
 Runs of spaces are merged directly: their pieces share one score.
 
-Null text: empty, no ids.  Rows with equal or null doc_id are encoded each on its own.
+The public model's registered query is of the second kind: it decides by merging, no score is relaxed in it.
+
+Null text: empty, no ids.  Rows with equal or null doc_id are encoded each on its own.  Texts of any length are
+taken whole.  Of pieces with equal best totals the longest wins.  An empty table gives no rows.  Columns other than
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
