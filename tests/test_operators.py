@@ -205,3 +205,19 @@ def test_folds(spark):
     assert [r.matched for r in analytic.hysteresis(h, "k", ["o"], "v", 0.5, 0.7).orderBy("o").collect()] == [False, True, True, False, False, True]
     f = spark.createDataFrame([("a", 5, 1), ("b", 6, 2), ("c", 4, 3)], "name string, size long, used_at long")
     assert sorted(r.name for r in analytic.within_budget(f, 10).collect()) == ["b", "c"] and sorted(r.name for r in analytic.within_budget(f, 9, "a").collect()) == ["a", "c"]
+
+
+def test_shuffle_keeps_what_is_playing(spark):
+    rows = spark.range(50).withColumnRenamed("id", "k")
+    one = {r.k: r.position for r in relational.shuffled(rows, 3, "k", current=17).collect()}
+    two = {r.k: r.position for r in relational.shuffled(rows.repartition(5), 3, "k", current=17).collect()}
+    assert one == two and one[17] == 0 and sorted(one.values()) == list(range(50)) and [k for k, _ in sorted(one.items(), key=lambda x: x[1])] != [17, *[k for k in range(50) if k != 17]]
+
+
+def test_labels_that_do_not_settle(spark):
+    import pytest
+
+    albums = spark.createDataFrame([(i, f"t{i // 2}", "a") for i in range(40)], "id long, title_key string, artist_key string")
+    tracks = spark.createDataFrame([(i, "f") for i in range(40)], "album_id long, folder string")
+    with pytest.raises(RuntimeError, match="settle"):
+        entities.consolidated(albums, tracks, most_rounds=1)

@@ -153,7 +153,7 @@ def response_cache(t):
 
 
 @query("SELECT page_id FROM pages WHERE lower(url) LIKE '%utm\\_source=fe%' ESCAPE '\\' AND page_id > 3")
-def optional_filters(t):
+def filters_if_given(t):
     """Filters whose value is not given let all rows pass; wildcards in a search stand for themselves."""
     given = [("UTM_source=fe", relational.contains_text(F.col("url"), "UTM_source=fe")), ("", relational.contains_text(F.col("url"), "%")), (0, F.col("page_id") == 0), (3, F.col("page_id") > 3), (None, F.lit(False))]
     return relational.filtered(t.pages, given).select("page_id")
