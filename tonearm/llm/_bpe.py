@@ -24,7 +24,7 @@ import pyarrow as pa
 CACHE_CHUNKS = 800_000
 TABLE, PROBES = 1 << 21, 24  # places in the hash table, and steps of a search
 JOINT = 64  # chunks in one string
-_ODD = re.compile(r"[^\S \n\r\t]")
+_ODD, _RARE = re.compile(r"[^\S \n\r\t]"), "\x0b\x0c\x1c\x1d\x1e\x1f"
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 13, 32]] = True
 _STOP, _LETTER = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -196,8 +196,7 @@ class ChunkEncoder(ChunkCache):
         self.lib.encode_special_tokens = True
         self.lib.model._resize_cache(0)
         added = self.lib.get_added_tokens_decoder().values()
-        strings = "|".join(re.escape(a.content) for a in added) or r"(?!)"
-        self.added = re.compile("" if any(a.normalized for a in added) else strings)  # normalised ones may show in any text
+        self.added = [""] if any(a.normalized for a in added) else [a.content for a in added]  # normalised ones may show in any text
         vocab = self.lib.get_vocab()
         self.leads = not self.lib.model.end_of_word_suffix  # byte-level: a space shows as U+0120
         self.plain = self.lib
@@ -266,8 +265,13 @@ class ChunkEncoder(ChunkCache):
         finally:
             self.lib.encode_special_tokens = True
 
+    def _odd(self, text: str, added_tokens: bool) -> bool:
+        """Whether a text goes to the library whole."""
+        spaces = any(c in text for c in _RARE) if text.isascii() else _ODD.search(text)
+        return bool(spaces) or added_tokens and any(a in text for a in self.added)
+
     def encode(self, texts: list[str], added_tokens: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        odd = {i: self._whole(t, added_tokens) for i, t in enumerate(texts) if _ODD.search(t) or added_tokens and self.added.search(t)}
+        odd = {i: self._whole(t, added_tokens) for i, t in enumerate(texts) if self._odd(t, added_tokens)}
         flat, stops = self.encode_bytes(*text_bytes(["" if i in odd else t for i, t in enumerate(texts)]))
         if odd:
             parts = np.split(flat, stops[:-1])

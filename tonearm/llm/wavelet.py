@@ -69,7 +69,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
             blocks.append([*parts.add(small), 1] if len(small) < len(raw) else [*parts.add(raw), 0])
         planes.append({"zeros": len(cur) - ones, "blocks": blocks, "ranks": parts.add(press.compress(samples.tobytes()))})
         if b:
-            cur = np.concatenate([cur[~bit], cur[bit]])
+            cur = np.concatenate([cur.compress(~bit), cur.compress(bit)])
     known = np.array([d is not None for d in doc_ids], dtype=bool)
     table = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
     docs = parts.add(press.compress(np.diff(table, prepend=0).astype("<i8").tobytes() + np.array(lengths, dtype="<i8").tobytes() + np.packbits(known).tobytes()))
@@ -193,8 +193,8 @@ class WaveletMatrix:
             raw = b"".join(self._read(at, size, bool(packed)) for at, size, packed in plane["blocks"])
             bit = np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=self.n, bitorder="little").view(bool)
             out, zeros = np.empty_like(cur), plane["zeros"]
-            np.place(out, ~bit, cur[:zeros])
-            np.place(out, bit, cur[zeros:] | cur.dtype.type(1 << b))
+            out[np.flatnonzero(~bit)] = cur[:zeros]
+            out[np.flatnonzero(bit)] = cur[zeros:] | cur.dtype.type(1 << b)
             cur = out
         return cur
 
