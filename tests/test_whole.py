@@ -16,7 +16,7 @@ def _distance(a, b):
 
 def test_every_part_gets_its_best_match(spark):
     parts = [(1, "small ring", "T", "B"), (2, "small rings", "T", "B"), (3, "tall ring", "T", "B"), (10, "zzz", "T", "B"), (11, "small ring", "T", "C"), (21, "small ring", "U", "B"), (22, "small wing", "U", "B")]
-    got = shapes.levenshtein_match_whole(SimpleNamespace(part=spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string"))).collect()
+    got = shapes.levenshtein_match(SimpleNamespace(part=spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string"))).collect()
     want = set()
     for a, n, *k in parts:
         found = [(1 - _distance(n, m) / max(len(n), len(m)), b) for b, m, *q in parts if b != a and q == k]
@@ -27,14 +27,14 @@ def test_every_part_gets_its_best_match(spark):
 
 
 def test_zero_durations_are_null_rows(spark):
-    got = dict(map(tuple, shapes.duration_text_whole(SimpleNamespace(events=spark.createDataFrame([(0,), (3600,), (300,), (301,), (7,)], "event_id long"))).collect()))
+    got = dict(map(tuple, shapes.duration_text(SimpleNamespace(events=spark.createDataFrame([(0,), (3600,), (300,), (301,), (7,)], "event_id long"))).collect()))
     assert got == {0: None, 3600: None, 300: 300_000, 301: 61_000, 7: None}
 
 
 def test_natural_order_ranks_every_row(spark):
     rows = [(i, f"Part {n}") for i, n in enumerate([*range(150, 0, -1), "010", "x2", "X10", "x02"])]
     spark_rows = spark.createDataFrame(rows, "c_custkey long, c_name string")
-    got = sorted((r.r, r.c_custkey) for r in browse.natural_sort_whole(SimpleNamespace(customer=spark_rows)).collect())
+    got = sorted((r.r, r.c_custkey) for r in browse.natural_sort(SimpleNamespace(customer=spark_rows)).collect())
 
     def key(row):
         tail = row[1][5:].lower()

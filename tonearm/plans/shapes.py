@@ -177,25 +177,15 @@ def bm25_search(t):
 
 
 @query("""SELECT a, b, round(c, 5) AS confidence FROM (SELECT x.p_partkey a, y.p_partkey b, 1.0 - levenshtein(x.p_name, y.p_name)::DOUBLE / greatest(length(x.p_name), length(y.p_name)) c, row_number() OVER (PARTITION BY x.p_partkey ORDER BY (1.0 - levenshtein(x.p_name, y.p_name)::DOUBLE / greatest(length(x.p_name), length(y.p_name)))::FLOAT DESC, y.p_partkey DESC) r
-FROM part x JOIN part y ON x.p_type = y.p_type AND x.p_brand = y.p_brand AND x.p_partkey <> y.p_partkey AND x.p_partkey % 10 = 0) WHERE r = 1 AND c >= 0.3""")
+FROM part x JOIN part y ON x.p_type = y.p_type AND x.p_brand = y.p_brand AND x.p_partkey <> y.p_partkey) WHERE r = 1 AND c >= 0.3""")
 def levenshtein_match(t):
-    return _best_parts(t, t.part.where("p_partkey % 10 = 0"))
-
-
-def _best_parts(t, asked):
-    """The best match of each part in ``asked`` among all parts of its type and brand."""
-    x = asked.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("n"), "p_type", "p_brand")
+    """The best match of each part among all parts of its type and brand."""
+    x = t.part.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("n"), "p_type", "p_brand")
     y = t.part.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("m"), "p_type", "p_brand")
     best = entities.best_match(x.join(y, ["p_type", "p_brand"]).where("a <> b"), "a", names.similarity(F.col("n"), F.col("m")), "b", 0.3)
     return best.select("a", "b", F.round(F.col("confidence").cast("double"), 5).alias("confidence"))
 
 
-@query("""SELECT a, b, round(c, 5) AS confidence FROM (SELECT x.p_partkey a, y.p_partkey b, 1.0 - levenshtein(x.p_name, y.p_name)::DOUBLE / greatest(length(x.p_name), length(y.p_name)) c, row_number() OVER (PARTITION BY x.p_partkey ORDER BY (1.0 - levenshtein(x.p_name, y.p_name)::DOUBLE / greatest(length(x.p_name), length(y.p_name)))::FLOAT DESC, y.p_partkey DESC) r
-FROM part x JOIN part y ON x.p_type = y.p_type AND x.p_brand = y.p_brand AND x.p_partkey <> y.p_partkey) WHERE r = 1 AND c >= 0.3""")
-def levenshtein_match_whole(t):
-    return _best_parts(t, t.part)
-
-
 @query("SELECT p_partkey, lower(trim(regexp_replace('  ' || upper(p_name) || '   x ', '\\s+', ' ', 'g'))) AS k FROM part")
 def group_key(t):
     return t.part.select("p_partkey", names.group_key(F.concat(F.lit("  "), F.upper("p_name"), F.lit("   x "))).alias("k"))
@@ -238,20 +228,11 @@ def raw_genre_report(t):
     return entities.genre_report(tracks, _genres(t), "unmapped")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CAST((event_id % 3600) * 1000 AS BIGINT) WHEN event_id % 4 = 1 THEN CAST((event_id % 100 * 60 + event_id % 60) * 1000 AS BIGINT) WHEN event_id % 4 = 2 THEN CAST((event_id % 10 * 3600 + event_id % 60 * 60 + 30) * 1000 AS BIGINT) END AS ms FROM events WHERE event_id % 3600 <> 0 AND (event_id % 100 * 60 + event_id % 60) > 0")
+@query("SELECT event_id, nullif(CASE WHEN event_id % 4 = 0 THEN CAST((event_id % 3600) * 1000 AS BIGINT) WHEN event_id % 4 = 1 THEN CAST((event_id % 100 * 60 + event_id % 60) * 1000 AS BIGINT) WHEN event_id % 4 = 2 THEN CAST((event_id % 10 * 3600 + event_id % 60 * 60 + 30) * 1000 AS BIGINT) END, 0) AS ms FROM events")
 def duration_text(t):
-    return _durations(t.events.where("event_id % 3600 <> 0 AND (event_id % 100 * 60 + event_id % 60) > 0"))
-
-
-def _durations(events):
     e, m = F.col("event_id"), F.col("event_id") % 4
     s = F.when(m == 0, (e % 3600).cast("string")).when(m == 1, F.concat_ws(":", (e % 100).cast("string"), (e % 60).cast("string"))).when(m == 2, F.concat_ws(":", (e % 10).cast("string"), (e % 60).cast("string"), F.lit("30"))).otherwise(F.lit("1:2:3:4"))
-    return events.select("event_id", text.duration_ms(s).alias("ms"))
-
-
-@query("SELECT event_id, nullif(CASE WHEN event_id % 4 = 0 THEN CAST((event_id % 3600) * 1000 AS BIGINT) WHEN event_id % 4 = 1 THEN CAST((event_id % 100 * 60 + event_id % 60) * 1000 AS BIGINT) WHEN event_id % 4 = 2 THEN CAST((event_id % 10 * 3600 + event_id % 60 * 60 + 30) * 1000 AS BIGINT) END, 0) AS ms FROM events")
-def duration_text_whole(t):
-    return _durations(t.events)
+    return t.events.select("event_id", text.duration_ms(s).alias("ms"))
 
 
 @query("SELECT event_id, CAST((epoch_us(ts) // 1000) // 86400000 AS BIGINT) AS day, strftime(ts, '%Y-%m-%d') AS date FROM events")
