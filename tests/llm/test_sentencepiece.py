@@ -1,5 +1,6 @@
 import itertools
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -40,6 +41,62 @@ def test_viterbi_against_all_splits():
     assert model.split("▁zz") == [6, 0, 0]
 
 
+def _as_unigram(path):
+    """The library with the same pieces and scores, told that the model is a unigram one.
+
+    Its lattice (``nbest_encode``) finds the greatest total; its quicker ``encode`` misses it where scores are ranks.
+    """
+    raw, at = bytearray(open(path, "rb").read()), 0
+
+    def number(at):
+        n = shift = 0
+        while True:
+            n |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return n, at
+
+    def skip(kind, at):
+        if kind == 2:
+            size, at = number(at)
+            return at + size
+        return number(at)[1] if kind == 0 else at + (4 if kind == 5 else 8)
+
+    while at < len(raw):
+        key, at = number(at)
+        if key >> 3 == 2:  # how the model was trained
+            size, at = number(at)
+            end = at + size
+            while at < end:
+                key, at = number(at)
+                if key == 3 << 3:  # its type: 1 unigram, 2 BPE
+                    raw[at] = 1
+                at = skip(key & 7, at)
+        else:
+            at = skip(key & 7, at)
+    return sentencepiece.SentencePieceProcessor(model_proto=bytes(raw))
+
+
+def test_viterbi_gives_the_ids_of_the_library_as_unigram(spark):
+    library, model = _as_unigram(PATH), PieceModel.load(PATH, viterbi=True)
+    rng = random.Random(2)
+    texts = [t[:60] for t in TEXTS] + ["".join(rng.choice("abcdefgh  éß\n.,-0129日") for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += ["the quick brown fox jumps over the lazy dog", "internationalisation of the unbelievable"]
+    flat, stops = model.encode(texts)
+    got = [x.tolist() for x in np.split(flat, stops[:-1])]
+    want = [library.nbest_encode(t, nbest_size=2)[0] for t in texts]
+    own, best = ([sum(model.score[i] for i in x) for x in y] for y in (got, want))
+    assert all(b <= a <= b + 1e-6 * abs(b) for a, b in zip(own, best))  # the library adds in single precision
+    assert sum(a == b for a, b in zip(got, want)) > 0.9 * len(texts)  # others: equal totals
+    assert got != [PieceModel.load(PATH).encode([t])[0].tolist() for t in texts]
+    assert [model.decode(x) for x in got] == [t.replace("▁", " ") for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trips = {r.doc_id: (r.best_n_ids, r.best_ids_crc32) for r in round_trips(docs, PATH).collect()}
+    assert trips == {i: (len(x), zlib.crc32(np.array(x, dtype="<u4"))) for i, x in enumerate(got)}
+    kept = {r.doc_id: np.frombuffer(r.ids, dtype="<u4").tolist() for r in encoded(docs, PATH, viterbi=True).collect()}
+    assert kept == dict(enumerate(got))
+
+
 def _splits(s, known):
     if not s:
         yield []

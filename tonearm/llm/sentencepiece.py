@@ -10,9 +10,10 @@ longest first, and each relaxes the best split of the text up to that position.
 
 Characters outside the vocabulary become byte pieces (or the unknown piece).  Texts are cut between
 bytes that adjoin in no piece, and the parts are cached, as their splits don't depend on each other.
-Runs of spaces are merged directly: their pieces share one score.
+Where merging decides, runs of spaces are merged directly: their pieces share one score.
 
-The public model's registered query is of the second kind: it decides by merging, no score is relaxed in it.
+``viterbi=True`` gives the split of greatest total score under any model, also of pieces made by merging.  The
+registered query returns both over the whole table: the library's own ids, and counts and checksums of the best split.
 
 Null text: empty, no ids.  Rows with equal or null doc_id are encoded each on its own.  Texts of any length are
 taken whole.  Of pieces with equal best totals the longest wins.  An empty table gives no rows.  Columns other than
@@ -33,7 +34,7 @@ from ._bpe import ChunkCache, batches, text_bytes
 
 SPACE = "▁"
 PAIRS = 1 << 20
-_MODELS: dict[str, "PieceModel"] = {}
+_MODELS: dict[tuple[str, bool], "PieceModel"] = {}
 
 
 class PieceModel(ChunkCache):
@@ -64,8 +65,9 @@ class PieceModel(ChunkCache):
             self.automaton.make_automaton()
 
     @classmethod
-    def load(cls, path: str) -> "PieceModel":
-        if path not in _MODELS:
+    def load(cls, path: str, viterbi: bool = False) -> "PieceModel":
+        """One model for each Python worker, file and way; ``viterbi``: greatest total score also where the file says BPE."""
+        if (path, viterbi) not in _MODELS:
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -76,9 +78,9 @@ class PieceModel(ChunkCache):
             plain = sp.normalize(probe) == SPACE + probe.replace(" ", SPACE)
             pieces = [(sp.id_to_piece(i), sp.get_score(i)) for i in range(n)]
             ranks = [s for i, (_, s) in enumerate(pieces) if i not in special and i not in byte_ids.values()]
-            merges = all(s == int(s) for s in ranks)  # BPE models number their merges; unigram scores are log-probabilities
-            _MODELS[path] = cls(pieces, special, byte_ids, sp.unk_id(), merges, None if plain else sp.normalize)
-        return _MODELS[path]
+            merges = not viterbi and all(s == int(s) for s in ranks)  # BPE models number their merges; unigram scores are log-probabilities
+            _MODELS[path, viterbi] = cls(pieces, special, byte_ids, sp.unk_id(), merges, None if plain else sp.normalize)
+        return _MODELS[path, viterbi]
 
     def merged(self, text: str) -> list[int]:
         """BPE by the definition: join the adjacent pair of greatest score, the leftmost of equals, until none is left."""
@@ -206,11 +208,11 @@ class PieceModel(ChunkCache):
 ENCODED = "doc_id long, n_ids long, ids binary"
 
 
-def encoded(docs: DataFrame, model: str) -> DataFrame:
+def encoded(docs: DataFrame, model: str, viterbi: bool = False) -> DataFrame:
     """doc_id, n_ids and ids (little-endian unsigned 32-bit integers) of every whole text."""
 
     def run(batches_in):
-        m = PieceModel.load(model)
+        m = PieceModel.load(model, viterbi)
         for batch in batches_in:
             at = 0
             for texts in batches(batch.column("text")):
@@ -237,15 +239,20 @@ def decoded(ids: DataFrame, model: str) -> DataFrame:
 
 
 def round_trips(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32, decoded_sha256 and whether decoding gives the text back, in one pass over the texts."""
+    """doc_id, n_ids, ids_crc32, decoded_sha256 and whether decoding gives the text back, in one pass over the texts.
+
+    best_n_ids, best_ids_crc32: the same of the split of greatest total score.
+    """
 
     def run(batches_in):
-        m = PieceModel.load(model)
+        m, best = PieceModel.load(model), PieceModel.load(model, viterbi=True)
         for batch in batches_in:
             at = 0
             for texts in batches(batch.column("text")):
                 flat, stops = m.encode(texts)
                 parts = np.split(flat, stops[:-1])
+                flat, best_stops = best.encode(texts)
+                best_parts = np.split(flat, best_stops[:-1])
                 back = [m.decode(x.tolist()) for x in parts]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -254,9 +261,11 @@ def round_trips(docs: DataFrame, model: str) -> DataFrame:
                         pa.array([zlib.crc32(x.astype("<u4")) for x in parts], pa.int64()),
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
                         pa.array([a == b for a, b in zip(texts, back)], pa.bool_()),
+                        pa.array(np.diff(best_stops, prepend=0)),
+                        pa.array([zlib.crc32(x.astype("<u4")) for x in best_parts], pa.int64()),
                     ],
-                    names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"],
+                    names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip", "best_n_ids", "best_ids_crc32"],
                 )
                 at += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean, best_n_ids long, best_ids_crc32 long")
