@@ -30,3 +30,18 @@ def test_large_keys_one_key_and_none(spark):
     assert len(cut) == 1 and got == []
     cut, got = _numbered(spark, [None], 5)
     assert len(cut) == 1 and got == [(None, 0)]
+
+
+def test_many_null_keys_are_spread(spark):
+    cut, got = _numbered(spark, [None] * 400 + list(range(100)), 50)
+    assert cut.nulls == 8 and len(cut) == 8 + len(cut.firsts)
+    sizes = {}
+    for k, b in got:
+        if k is None:
+            sizes[b] = sizes.get(b, 0) + 1
+        else:
+            i = b - cut.nulls
+            assert cut.firsts[i] <= k and (i + 1 == len(cut.firsts) or k < cut.firsts[i + 1])
+    assert set(sizes) == set(range(8)) and max(sizes.values()) < 120
+    cut, got = _numbered(spark, [None] * 100, 10)
+    assert len(cut) == 10 and {b for _, b in got} == set(range(10))

@@ -80,6 +80,13 @@ def test_null_ids_single_and_empty(spark):
     one = [r for r in got if r.doc_id == 3][0]
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"x yx ").hexdigest()
     assert [r.near_next for r in got if r.doc_id is None] == [0.0, 0.0]
+    many = with_edits(spark.createDataFrame([(None, f"n{i} o p") for i in range(40)] + [(i, f"w{i} b c d") for i in range(30)], schema), rows_each=7).collect()
+    known = sorted((r.doc_id, r.edited_sha256) for r in many if r.doc_id is not None)
+    texts = [f"w{i} b c d" for i in range(30)]
+    edits = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, texts[1:] + texts[:1])]
+    assert known == [(i, hashlib.sha256(e.encode()).hexdigest()) for i, e in enumerate(edits)]
+    alone = sorted(r.edited_sha256 for r in many if r.doc_id is None)
+    assert alone == sorted(hashlib.sha256(t[: len(t) - len(t) // 2].encode()).hexdigest() for t in (f"n{i} o p" for i in range(40)))
     assert with_edits(spark.createDataFrame([], schema)).count() == 0
     twice = with_edits(spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "c")], schema)).collect()
     assert len(twice) == 3 and sketch.K == 128

@@ -14,15 +14,22 @@ MAX_RANGES = 20_000
 
 @dataclass(frozen=True)
 class Ranges:
-    """``firsts[i]`` is the smallest key of range i; no range is empty. Rows with a null key fall in range 0."""
+    """``firsts[i]`` is the smallest key of range ``nulls + i``; none of these is empty.
+
+    Many rows with a null key are dealt evenly to the ranges below ``nulls``; a few (``nulls`` is 0) fall in range 0.
+    """
 
     firsts: list[int]
     splits: list[float]
+    nulls: int = 0
 
     def __len__(self) -> int:
-        return max(1, len(self.firsts))
+        return max(1, self.nulls + len(self.firsts))
 
     def number(self, df: DataFrame, key: str, out: str) -> DataFrame:
+        if self.nulls:
+            known = Ranges(self.firsts, self.splits).number(df, key, out)
+            return known.withColumn(out, F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(self.nulls)).cast("int")).otherwise(F.col(out) + self.nulls))
         if len(self.splits) < 2:
             return df.withColumn(out, F.lit(0))
         cut = Bucketizer(splits=[-math.inf, *self.splits[1:], math.inf], inputCol="__k", outputCol="__b", handleInvalid="keep")
@@ -33,16 +40,19 @@ class Ranges:
 
 def ranges_of(df: DataFrame, key: str, rows_each: int) -> Ranges:
     """Ranges of about ``rows_each`` rows; only ``key`` is read. The driver gets two numbers a range, at most 20,000 ranges."""
-    narrow = df.select(F.col(key).cast("long").alias("k")).where("k IS NOT NULL")
-    total = narrow.count()
+    keys = df.select(F.col(key).cast("long").alias("k"))
+    counted = keys.agg(F.count("k").alias("known"), F.count(F.lit(1)).alias("rows")).first()
+    total, unknown = counted["known"], counted["rows"] - counted["known"]
+    nulls = min(MAX_RANGES, math.ceil(unknown / rows_each)) if unknown > rows_each else 0
+    narrow = keys.where("k IS NOT NULL")
     n = max(1, min(MAX_RANGES, math.ceil(total / rows_each)))
     if total == 0:
-        return Ranges([], [])
+        return Ranges([], [], nulls)
     at = [i / n for i in range(n)]
     got = narrow.agg(F.percentile_approx("k", at, max(10_000, 4 * n)).alias("q"), F.min("k").alias("m")).first()
     splits = sorted({float(x) for x in [got["m"], *got["q"]]})
     numbered = Ranges([0] * len(splits), splits).number(narrow, "k", "b")
     firsts = [r["m"] for r in numbered.groupBy("b").agg(F.min("k").alias("m")).orderBy("b").collect()]
     if len(firsts) != len(splits):  # keys beyond 2**53 that share a double
-        return Ranges(firsts, [float(x) for x in firsts]) if len({float(x) for x in firsts}) == len(firsts) else Ranges(firsts[:1], splits[:1])
-    return Ranges(firsts, splits)
+        return Ranges(firsts, [float(x) for x in firsts], nulls) if len({float(x) for x in firsts}) == len(firsts) else Ranges(firsts[:1], splits[:1], nulls)
+    return Ranges(firsts, splits, nulls)

@@ -115,17 +115,18 @@ def with_edits(docs: DataFrame, k: int = K, rows_each: int = 4096) -> DataFrame:
     rows = cut.number(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "doc_id", "own")
     is_first = F.col("doc_id").isin(cut.firsts) if cut.firsts else F.lit(False)
     here = F.struct(F.col("own").alias("range"), F.lit(0).alias("late"))
-    before = F.struct(F.pmod(F.col("own") - 1, F.lit(n)).cast("int").alias("range"), F.lit(1).alias("late"))
+    before = F.struct(F.when(F.col("own") > cut.nulls, F.col("own") - 1).otherwise(n - 1).cast("int").alias("range"), F.lit(1).alias("late"))
     sent = rows.select("doc_id", "text", F.explode(F.when(is_first, F.array(here, before)).otherwise(F.array(here))).alias("to"))
     dealt = sent.select("doc_id", "text", "to.range", "to.late").repartitionById(n, F.col("range")).sortWithinPartitions("range", "late", F.asc_nulls_first("doc_id"), "text")
 
     names = [c.split()[0] for c in EDITED.split(", ")]
 
-    def rows_of(docs_: list, texts: list[str]):
-        """Rows of all but the last of consecutive documents."""
-        n_rows = len(texts) - 1
+    def rows_of(docs_: list, texts: list[str], alone: bool = False):
+        """Rows of all but the last of consecutive documents, or of all of those that nothing follows."""
+        after = [""] * len(texts) if alone else texts[1:]
+        n_rows = len(after)
         halves = [len(t) // 2 for t in texts]
-        edits = [a[: len(a) - h] + b[:h] for a, b, h in zip(texts, texts[1:], halves)]
+        edits = [a[: len(a) - h] + b[:h] for a, b, h in zip(texts, after, halves)]
         got = [lowest(x, k) for x in shingles(texts + edits)]
         own, new = got[: len(texts)], got[len(texts) :]
         cols = [
@@ -135,7 +136,7 @@ def with_edits(docs: DataFrame, k: int = K, rows_each: int = 4096) -> DataFrame:
             pa.array([to_string(x) for x in own[:n_rows]], pa.string()),
             pa.array([to_string(x) for x in new], pa.string()),
             pa.array([resemblance(a, b, k) for a, b in zip(own, new)], pa.float64()),
-            pa.array([resemblance(a, b, k) if d is not None else 0.0 for d, a, b in zip(docs_, own, own[1:])], pa.float64()),
+            pa.array([0.0] * n_rows if alone else [resemblance(a, b, k) for a, b in zip(own, own[1:])], pa.float64()),
         ]
         return pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -143,12 +144,12 @@ def with_edits(docs: DataFrame, k: int = K, rows_each: int = 4096) -> DataFrame:
         docs_, texts, size, over, span = [], [], 0, False, None
         for batch in batches_in:
             for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+                part, loose = batch.slice(i, 256), []
                 for doc, text, late, place in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "late", "range"))):
                     if place != span:
                         docs_, texts, size, over, span = [], [], 0, False, place
                     if doc is None:
-                        yield rows_of([None, None], [text, ""])
+                        loose.append(text)
                         continue
                     if over:
                         continue  # the range's successor has come; more rows with its id belong elsewhere
@@ -159,5 +160,7 @@ def with_edits(docs: DataFrame, k: int = K, rows_each: int = 4096) -> DataFrame:
                     if len(texts) > 1 and (over or len(texts) > 1024 or size > 2_000_000):
                         yield rows_of(docs_, texts)
                         docs_, texts, size = docs_[-1:], texts[-1:], len(texts[-1])
+                if loose:
+                    yield rows_of([None] * len(loose), loose, alone=True)
 
     return dealt.mapInArrow(run, EDITED)
