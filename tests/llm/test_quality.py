@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tonearm.llm.quality import FEATURES, Discriminant, accepted, classify, featurised, fit, statistics
+from tonearm.llm.quality import FEATURES, Discriminant, accepted, classify, featurised, fit, fit_texts, statistics
 
 
 def _doc(rng, good):
@@ -63,3 +63,12 @@ def test_accepted_is_the_classifier(spark):
     assert kept.schema == docs.schema
     good = {r.doc_id for r in featurised(docs).collect() if model.score(np.array([r.x]))[0] >= 0.3}
     assert {r.doc_id for r in kept.collect()} == good
+
+
+def test_fit_on_texts_reads_labelled_ones_and_gives_the_same_model(spark):
+    docs, labels, _ = _tables(spark, 80)
+    labels = labels.where("doc_id < 50 OR doc_id IS NULL").selectExpr("doc_id", "quality AS label")
+    probe = np.array([r.x for r in featurised(docs).collect()])
+    whole = fit(featurised(docs), labels).score(probe)
+    for most in (0, 1_000):
+        assert np.allclose(fit_texts(docs, labels, broadcast_rows=most).score(probe), whole, atol=1e-6)

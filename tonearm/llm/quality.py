@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ._shingles import text_bytes, word_hashes
 from ._store import written
 
+BROADCAST_ROWS = 1_000_000
 FEATURES = ("log_words", "word_length", "symbols", "digits", "capitals", "stops", "distinct_words", "top_word", "repeats", "same_next", "same_lines", "line_words", "odd_words", "entropy")
 _SYMBOL, _DIGIT, _UPPER, _STOP, _ALPHA = (np.zeros(256, dtype=bool) for _ in range(5))
 _SYMBOL[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in ".,'"]] = True
@@ -136,6 +137,19 @@ def fit(features: DataFrame, labels: DataFrame) -> Discriminant:
     return Discriminant(moments)
 
 
+def fit_texts(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Discriminant:
+    """``fit`` on texts, for a model without scores of ``docs``: each labelled text is read once.
+
+    Up to ``broadcast_rows`` labels are sent to the tasks, which then skip the other texts; beyond, the statistics of
+    all texts meet the labels in a shuffle, as they are shorter than the texts.  The model is the same.
+    """
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if ids.count() <= broadcast_rows:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    return fit(featurised(texts), labels)
+
+
 def scored(features: DataFrame, model: Discriminant, threshold: float = 0.3) -> DataFrame:
     def run(batches_in):
         for batch in batches_in:
