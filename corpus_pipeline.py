@@ -29,8 +29,7 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out()).select("doc_id", F.col("quality").alias("label"))
-    model = quality.fit(written(quality.featurised(docs), "quality-features"), labels)
-    return quality.accepted(docs.select(*COLUMNS), model)
+    return quality.accepted(docs.select(*COLUMNS), quality.fit_texts(docs, labels))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
