@@ -5,6 +5,7 @@ text's ids are the ids of its chunks (white space, then what is not) laid end to
 an ASCII letter starts a chunk too.  Chunks repeat
 far more often than texts do.  A batch of texts is cut into chunks and hashed in numpy; the library
 encodes each chunk that the cache lacks, many in one call; ids are then gathered from a flat pool.
+The cache keeps the bytes of its chunks: each use is compared with them, so no hash decides what ids a chunk has.
 Texts with white space beyond space, tab and line ends go to the library whole.
 
 The string of an added token (``<|endoftext|>``) in a text is ordinary characters, or with ``added_tokens``
@@ -21,7 +22,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS, CACHE_BYTES = 800_000, 1 << 27
 TABLE, PROBES = 1 << 21, 24  # places in the hash table, and steps of a search
 JOINT = 64  # chunks in one string
 _ODD, _RARE = re.compile(r"[^\S \n\r\t]"), "\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -62,11 +63,20 @@ _POWERS = Powers()
 
 
 def hashed_spans(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the adjoining, non-empty byte spans that cover ``data``."""
+    """A 64-bit hash of each of the adjoining, non-empty byte spans that cover ``data``.
+
+    Every byte is mixed with its place before the sum, so the hash is no polynomial: texts that agree in
+    all sums of powers (Thue-Morse words and their exchanges) part like any others.
+    """
     at = np.arange(len(data), dtype=np.int64)
     at -= np.repeat(starts, lens)
     h = _POWERS.upto(int(lens.max()))[at]
     h *= data.astype(np.uint64) + np.uint64(1)
+    h ^= h >> _S33
+    h *= _M1
+    h ^= h >> _S33
+    h *= _M2
+    h ^= h >> _S33
     return mixed(np.add.reduceat(h, starts) + lens.astype(np.uint64))
 
 
@@ -84,6 +94,8 @@ def release(caches: bool = False) -> None:
 class ChunkCache:
     """Ids of chunks, learnt once while they stay in the cache; subclasses cut texts and encode chunks."""
 
+    hashed = staticmethod(hashed_spans)
+
     def __init__(self, dtype):
         self.dtype = dtype
         self._clear()
@@ -92,6 +104,8 @@ class ChunkCache:
         self.keys, self.slots, self.used = np.zeros(TABLE, dtype=np.uint64), np.zeros(TABLE, dtype=np.int32), 0
         self.pool, self.pool_n = np.zeros(1 << 20, dtype=self.dtype), 0
         self.first, self.many = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
+        self.raw, self.raw_n, self.at = np.zeros(1 << 20, dtype=np.uint8), 0, np.zeros(1 << 16, dtype=np.int64)
+        self.size = np.zeros(1 << 16, dtype=np.int64)
 
     def _found(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key in the open-addressed table, or -1."""
@@ -128,30 +142,46 @@ class ChunkCache:
         """Ids of chunks end to end, how many each has, and the order in which they come."""
         raise NotImplementedError
 
+    def _kept(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """New slots for chunks, with their bytes and ids."""
+        ids, many, order = self._learn(data, starts, lens)
+        n, k, size = self.used, len(starts), int(lens.sum())
+        while self.pool_n + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.raw_n + size > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        while n + k > len(self.first):
+            self.first, self.many, self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.many, self.at, self.size))
+        self.pool[self.pool_n : self.pool_n + len(ids)] = ids
+        self.many[n : n + k] = many
+        self.first[n : n + k] = self.pool_n + np.cumsum(many) - many
+        slot = np.empty(k, dtype=np.int64)
+        slot[order] = np.arange(n, n + k)
+        ends = np.cumsum(lens)
+        self.raw[self.raw_n : self.raw_n + size] = data[np.repeat(starts - (ends - lens), lens) + np.arange(size)]
+        self.at[slot], self.size[slot] = self.raw_n + ends - lens, lens
+        self.pool_n += len(ids)
+        self.raw_n += size
+        self.used += k
+        return slot
+
     def _slots(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """The cache slot of each chunk data[starts : starts + lens], whose hash is its key."""
-        if self.used > CACHE_CHUNKS:
+        """The cache slot of each of the adjoining chunks of ``data``, whose hash is its key."""
+        if self.used > CACHE_CHUNKS or self.raw_n > CACHE_BYTES:
             self._clear()
         got = self._found(keys)
         lost = np.flatnonzero(got < 0)
         if len(lost):
             new, where, back = np.unique(keys[lost], return_index=True, return_inverse=True)
-            where = lost[where]
-            ids, many, order = self._learn(data, starts[where], lens[where])
-            n, k = self.used, len(new)
-            while self.pool_n + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while n + k > len(self.first):
-                self.first, self.many = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.many))
-            self.pool[self.pool_n : self.pool_n + len(ids)] = ids
-            self.many[n : n + k] = many
-            self.first[n : n + k] = self.pool_n + np.cumsum(many) - many
-            self.pool_n += len(ids)
-            self.used += k
-            slot = np.empty(k, dtype=np.int64)
-            slot[order] = np.arange(n, n + k)
+            slot = self._kept(data, starts[lost[where]], lens[lost[where]])
             self._enter(new, slot)
             got[lost] = slot[back]
+        wrong = self.size[got] != lens
+        same = self.raw[np.minimum(np.repeat(self.at[got] - starts, lens) + np.arange(len(data)), self.raw_n - 1)] == data
+        if wrong.any() or not same.all():  # another chunk of equal hash: this one gets a slot of its own for once
+            wrong |= ~np.logical_and.reduceat(same, starts)
+            at = np.flatnonzero(wrong)
+            got[at] = self._kept(data, starts[at], lens[at])
         return got
 
     def encode_bytes(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +193,7 @@ class ChunkCache:
         head[ends[:-1][np.diff(ends) > 0]] = True
         starts = np.flatnonzero(head)
         lens = np.diff(starts, append=len(data))
-        keys = np.maximum(hashed_spans(data, starts, lens), np.uint64(1))  # 0 marks a free place
+        keys = np.maximum(self.hashed(data, starts, lens), np.uint64(1))  # 0 marks a free place
         slots = self._slots(keys, data, starts, lens)
         many = self.many[slots].astype(np.int64)
         total = np.cumsum(many)
