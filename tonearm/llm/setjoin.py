@@ -1,8 +1,9 @@
 """Exact similarity join of word-shingle sets: documents link where 100 * |A n B| >= 75 * |A u B|.
 
 1. Every text becomes its set of 64-bit shingle hashes; equal sets (same 64-bit set hash) collapse.
-   Each task also counts shingles that repeat among its sets; the sums give an order of all shingles,
-   frequent ones last, ties by hash.  Any order is right; this one keeps frequent passages out of prefixes.
+   Each task also counts all shingles of its sets in ``CELLS`` cells by hash; the cells' sums over the whole corpus give an
+   order of all shingles, those of full cells last, ties by hash.  Any order is right; this one keeps frequent passages
+   out of prefixes, also those that no task sees twice.  A rare shingle in a full cell is only ordered late.
 2. A set's prefix, in that order, holds a token of every set it can link with.  Prefix tokens go to
    buckets by hash, as packed arrays.  A bucket builds its index lists.  A list is cut into blocks of equal
    set size, each by position.  The earlier an entry lies in its set, the larger the sets it may link with: from each
@@ -27,6 +28,7 @@ component's least doc_id.  An empty table gives none.  Columns other than doc_id
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ from ._components import components
 from ._shingles import shingles
 from ._store import written
 
-HOT = 8  # counted at least so often: ordered last
-HOT_MOST = 1 << 18  # size of the order table; rarer shingles keep their place by hash
+CELL_BITS, PART_BITS = 24, 16  # cells in which shingles are counted (a byte each in the order), and those of one summing row
+CELLS = 1 << CELL_BITS
 LONG = 64
 BUCKET_POSTINGS = 1_500_000
 PAIRS_AT_ONCE = 2_000_000
@@ -68,18 +70,24 @@ def _slices(batches_in, rows: int = 512):
             yield batch.slice(i, rows)
 
 
+def counted(tokens: np.ndarray) -> list[dict]:
+    """Rows with how many tokens fall in each cell: a row for each part of the cells, differences of cells and counts compressed."""
+    cells, many = np.unique((tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64), return_counts=True)
+    cuts = np.searchsorted(cells, np.arange(0, CELLS + 1, 1 << PART_BITS)).tolist()
+    out = []
+    for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            steps = np.diff(cells[a:b], prepend=part << PART_BITS).astype("<u4")
+            out.append({"kind": 1, "n": part, "tokens": zlib.compress(steps.tobytes(), 1), "counts": zlib.compress(many[a:b].astype("<u4").tobytes(), 1)})
+    return out
+
+
 def summarised(docs: DataFrame, chunk: int = 4_000_000) -> DataFrame:
-    """kind 0: doc_id, n (set size) and sid (set hash); kind 1: shingles that repeat in a task, with counts."""
+    """kind 0: doc_id, n (set size) and sid (set hash); kind 1: n (part of the cells) and what ``counted`` gives of a task's sets."""
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary())])
 
     def run(batches_in):
         held, size, seen = [], 0, set()
-
-        def repeats():
-            tokens, many = np.unique(np.concatenate(held), return_counts=True)
-            pick = many > 1
-            return pa.RecordBatch.from_pylist([{"kind": 1, "tokens": tokens[pick].tobytes(), "counts": many[pick].astype("<i4").tobytes()}], schema=schema)
-
         for part in _slices(batches_in):
             rows = []
             for doc, s in zip(part.column("doc_id").to_pylist(), shingles([t or "" for t in part.column("text").to_pylist()])):
@@ -91,48 +99,44 @@ def summarised(docs: DataFrame, chunk: int = 4_000_000) -> DataFrame:
                     size += len(s)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
             if size > chunk:
-                yield repeats()
+                yield pa.RecordBatch.from_pylist(counted(np.concatenate(held)), schema=schema)
                 held, size, seen = [], 0, set()
         if held:
-            yield repeats()
+            yield pa.RecordBatch.from_pylist(counted(np.concatenate(held)), schema=schema)
 
     return _texts(docs).mapInArrow(run, "kind int, doc_id long, n int, sid long, tokens binary, counts binary")
 
 
-def frequent(summary: DataFrame) -> np.ndarray:
-    """The order table: most frequent shingles, ascending by count; its size is bounded by HOT_MOST."""
+def frequencies(summary: DataFrame) -> np.ndarray:
+    """A byte for each cell: eighths of the binary logarithm of its count over the corpus. The driver gets ``CELLS`` bytes at most."""
 
     def run(batches_in):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches_in:
-            for t, c in zip(batch.column("tokens").to_pylist(), batch.column("counts").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, dtype="<i8")), pa.array(np.frombuffer(c, dtype="<i4"))], names=["t", "c"])
+            for part, t, c in zip(*(batch.column(k).to_pylist() for k in ("n", "tokens", "counts"))):
+                total = sums.setdefault(part, np.zeros(1 << PART_BITS, dtype=np.int64))
+                total[np.cumsum(np.frombuffer(zlib.decompress(t), dtype="<u4"))] += np.frombuffer(zlib.decompress(c), dtype="<u4")
+        for part, total in sums.items():
+            classes = np.minimum(8 * np.log2(np.maximum(total, 1)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([part], pa.int32()), "classes": pa.array([zlib.compress(classes.tobytes(), 1)], pa.binary())})
 
-    sums = summary.where("kind = 1").select("tokens", "counts").mapInArrow(run, "t long, c int").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT)
-    rows = sums.orderBy(F.desc("c"), "t").limit(HOT_MOST).toArrow()
-    return rows.column("t").to_numpy()[::-1].astype(np.int64).view(np.uint64)
+    tasks = min(CELLS >> PART_BITS, int(summary.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = summary.where("kind = 1").select("n", "tokens", "counts").repartitionById(tasks, F.pmod("n", F.lit(tasks))).mapInArrow(run, "n int, classes binary").collect()
+    table = np.zeros(CELLS, dtype=np.uint8)
+    for r in rows:
+        table[r["n"] << PART_BITS : (r["n"] + 1) << PART_BITS] = np.frombuffer(zlib.decompress(r["classes"]), dtype=np.uint8)
+    return table
 
 
 class Order:
-    """Sorts a set's tokens: those outside the table by hash, then the table's by its order."""
+    """The total order of shingles: by the class of their cell, then by hash."""
 
     def __init__(self, table: np.ndarray):
-        self.sort = np.argsort(table)
-        self.keys = table[self.sort]
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(table >> np.uint64(44)).astype(np.int64)] = True
+        self.table = table
 
     def prefix(self, s: np.ndarray, p: int) -> np.ndarray:
-        at = np.flatnonzero(self.maybe[(s >> np.uint64(44)).astype(np.int64)])
-        if len(at):
-            place = np.minimum(np.searchsorted(self.keys, s[at]), len(self.keys) - 1)
-            true = self.keys[place] == s[at]
-            at, place = at[true], place[true]
-        if not len(at):
-            return s[:p]
-        cold = np.delete(s, at)
-        if len(cold) >= p:
-            return cold[:p]
-        return np.concatenate([cold, s[at[np.argsort(self.sort[place], kind="stable")]]])[:p]
+        """The first ``p`` of ascending tokens."""
+        return s[np.argsort(self.table[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")[:p]]
 
 
 POSTINGS = "bucket int, sids binary, sizes binary, lost binary, many binary, tokens binary, places binary"
@@ -173,8 +177,10 @@ def packed_postings(prefixes: list[np.ndarray], sids: list[int], sizes: list[int
 def postings(docs: DataFrame, table: np.ndarray, buckets: int, flush: int = 1_500_000) -> DataFrame:
     """Prefix tokens packed by bucket; a task sends each distinct set once."""
 
+    packed = zlib.compress(table.tobytes(), 1)
+
     def run(batches_in):
-        order, seen = Order(table), set()
+        order, seen = Order(np.frombuffer(zlib.decompress(packed), dtype=np.uint8)), set()
         pre, sids, sizes, total = [], [], [], 0
         for part in _slices(batches_in):
             for s in shingles([t or "" for t in part.column("text").to_pylist()]):
@@ -433,7 +439,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = written(sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "join-reps")
     total = reps.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, math.ceil(0.26 * total / BUCKET_POSTINGS))
-    edges = written(candidate_edges(postings(docs, frequent(summary), buckets), buckets), "join-edges")
+    edges = written(candidate_edges(postings(docs, frequencies(summary), buckets), buckets), "join-edges")
     named = reps.where("rep IS NOT NULL").select("sid", "rep")
     ends = edges.join(named.withColumnsRenamed({"sid": "a", "rep": "ra"}), "a").join(named.withColumnsRenamed({"sid": "b", "rep": "rb"}), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     clusters = components(ends, "join-clusters")
