@@ -84,6 +84,24 @@ def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie_contraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
