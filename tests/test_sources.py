@@ -19,11 +19,21 @@ def test_playlist_writers(spark):
     assert playlists.to_m3u(ok).first().text == "#EXTM3U\n#EXTINF:61,X - A\n/m/a.mp3\n#EXTINF:-1,B & C\n/m/b c.mp3\n"
     assert playlists.to_pls(ok).first().text.endswith("File2=/m/b c.mp3\nTitle2=B & C\nLength2=-1\nNumberOfEntries=2\nVersion=2\n")
     xml = playlists.to_xspf(ok).first().text
-    assert "<location>file:///m/b%20c.mp3</location><title>B &amp; C</title></track>" in xml and "<duration>61000</duration>" in xml
+    assert "<location>file:///m/b%20c.mp3</location>\n      <title>B &amp; C</title>\n    </track>" in xml and "<duration>61000</duration>" in xml and "  <title>p</title>\n  <trackList>" in xml
     again = playlists.m3u_entries(playlists.to_m3u(ok)).orderBy("pos").collect()
     assert [r.raw for r in again] == ["/m/a.mp3", "/m/b c.mp3"]
 
 
+def test_playlist_writers_odd_tags(spark):
+    rows = [("p", 0, "/m/x.y.mp3", " \n ", "a\r\nb\tc ", 0), ("p", 4, "/m/.hid", None, None, 1), ("p", 9, "/m/q", "T", "", 499), ("p", 11, "/m/r", "U", None, 1500), ("p", 12, "/m/s\u0085t.ogg", None, None, 2499)]
+    t = spark.createDataFrame(rows, "name string, pos long, path string, title string, artist string, duration_ms long")
+    assert [x for x in playlists.to_m3u(t).first().text.split("\n") if x.startswith("#EXTINF")] == ["#EXTINF:-1,a  b c - x.y", "#EXTINF:1,.hid", "#EXTINF:1,T", "#EXTINF:2,U", "#EXTINF:2,s t"]
+    pls = playlists.to_pls(t).first().text
+    assert "Title1=a  b c - x.y\nLength1=-1\nFile2=/m/.hid\n" in pls and "NumberOfEntries=5\n" in pls
+    xml = playlists.to_xspf(t).first().text
+    assert xml.count("<duration>") == 4 and "<creator>a  b c</creator>" in xml and xml.count("<creator>") == 1
+
+
 FEED = """<?xml version="1.0"?><rss><channel><title>T</title>
 <item><title><![CDATA[One & only]]></title><guid>g1</guid><enclosure url="http://x/1.mp3?a=1&b=2" type="audio/mpeg"/><pubDate>Mon, 02 Mar 2026 10:00:00 +0000</pubDate><itunes:duration>1:02:03</itunes:duration></item>
 <item><title>Two</title><enclosure url="https://x/2.mp3" type="audio/mpeg"/></item>

@@ -68,6 +68,8 @@ def canonical_query(pairs: Column) -> Column:
 
 
 def xml_escape(c: Column) -> Column:
+    """Escaped text; control characters that XML cannot hold are dropped."""
+    c = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c

@@ -111,31 +111,42 @@ def m3u_read(t):
 
 
 def _entries(t):
-    """Playlists of orders: one per customer."""
+    """Playlists of orders, one per customer, with blank and multi-line tags and odd lengths."""
     rows = analytic.dense_positions(t.orders, "o_custkey", ["o_orderkey"], "pos")
     k = F.col("o_orderkey")
+    title = F.when(k % 6 == 0, F.lit(None)).when(k % 6 == 1, " \n\t").when(k % 6 == 2, F.concat(F.lit(" A\t"), "o_orderpriority", F.lit("\r\nx\x07 "))).otherwise(F.concat("o_orderpriority", F.lit(" <&> 'q'")))
+    length = F.when(k % 4 == 0, F.lit(None)).when(k % 7 == 0, k % 500).when(k % 9 == 0, 0).otherwise(k * 1000 + k % 1000)
     return rows.select(
-        F.concat(F.lit("c"), "o_custkey").alias("name"), "pos", F.concat(F.lit("/m/a b/"), k, F.lit(".mp3")).alias("path"), F.col("o_orderpriority").alias("title"), F.when(k % 3 > 0, F.col("o_orderstatus")).alias("artist"),
-        F.when(k % 4 > 0, k * 1000).alias("duration_ms"), (F.col("o_orderstatus") == "F").alias("missing"), (k % 5 > 0).alias("decodable"),
+        F.concat(F.lit("c & "), "o_custkey").alias("name"), "pos", F.concat(F.lit("/m/a b/"), k, F.lit(".x.mp3")).alias("path"), title.alias("title"), F.when(k % 3 > 0, F.concat(F.lit("\n"), "o_orderstatus")).otherwise(" ").alias("artist"),
+        F.when(k % 5 > 2, F.concat(F.lit("On\x01"), "o_custkey")).alias("album"), length.alias("duration_ms"), F.when(k % 8 == 1, F.concat(F.lit("http://i/?a&"), k)).alias("image"), (F.col("o_orderstatus") == "F").alias("missing"), (k % 5 > 0).alias("decodable"),
     )
 
 
-_POS = "SELECT 'c' || o_custkey AS name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey AS k, o_orderpriority AS title, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS artist, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey * 1000 END AS ms, o_orderstatus FROM orders"
+_RAW = """SELECT o_custkey, 'c & ' || o_custkey AS name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey AS k, o_orderstatus, CASE WHEN o_orderkey % 3 > 0 THEN chr(10) || o_orderstatus ELSE ' ' END AS rawartist,
+CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN ' ' || chr(10) || chr(9) WHEN 2 THEN ' A' || chr(9) || o_orderpriority || chr(13) || chr(10) || 'x' || chr(7) || ' ' ELSE o_orderpriority || ' <&> ''q''' END AS rawtitle,
+CASE WHEN o_orderkey % 5 > 2 THEN 'On' || chr(1) || o_custkey END AS rawalbum, CASE WHEN o_orderkey % 8 = 1 THEN 'http://i/?a&' || o_orderkey END AS image,
+CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN o_orderkey % 500 WHEN o_orderkey % 9 = 0 THEN 0 ELSE o_orderkey * 1000 + o_orderkey % 1000 END AS ms FROM orders"""
+_TAG = "nullif(trim(regexp_replace({}, '[\\x00-\\x1f\\x7f-\\x9f]', ' ', 'g')), '')"
+_POS = f"""SELECT *, CASE WHEN ms IS NULL OR ms <= 0 THEN -1 WHEN ms < 1500 THEN 1 ELSE (ms + 500) // 1000 END AS secs, coalesce(artist || ' - ', '') || title AS shown
+FROM (SELECT *, coalesce({_TAG.format("rawtitle")}, k || '.x') AS title, {_TAG.format("rawartist")} AS artist, {_TAG.format("rawalbum")} AS album FROM ({_RAW}))"""
+_XML = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(39), '&apos;')"
 
 
-@query(f"SELECT name, '#EXTM3U' || chr(10) || string_agg('#EXTINF:' || coalesce(ms // 1000, -1) || ',' || concat_ws(' - ', artist, title) || chr(10) || '/m/a b/' || k || '.mp3', chr(10) ORDER BY pos) || chr(10) AS text FROM ({_POS}) GROUP BY name")
+@query(f"SELECT name, '#EXTM3U' || chr(10) || string_agg('#EXTINF:' || secs || ',' || shown || chr(10) || '/m/a b/' || k || '.x.mp3' || chr(10), '' ORDER BY pos) AS text FROM ({_POS}) GROUP BY name")
 def m3u_written(t):
     return playlists.to_m3u(_entries(t))
 
 
-@query(f"""SELECT name, '[playlist]' || chr(10) || string_agg('File' || (pos + 1) || '=/m/a b/' || k || '.mp3' || chr(10) || 'Title' || (pos + 1) || '=' || title || chr(10) || 'Length' || (pos + 1) || '=' || coalesce(ms // 1000, -1), chr(10) ORDER BY pos)
-|| chr(10) || 'NumberOfEntries=' || count(*) || chr(10) || 'Version=2' || chr(10) AS text FROM ({_POS}) GROUP BY name""")
+@query(f"""SELECT name, '[playlist]' || chr(10) || string_agg('File' || (pos + 1) || '=/m/a b/' || k || '.x.mp3' || chr(10) || 'Title' || (pos + 1) || '=' || shown || chr(10) || 'Length' || (pos + 1) || '=' || secs || chr(10), '' ORDER BY pos)
+|| 'NumberOfEntries=' || count(*) || chr(10) || 'Version=2' || chr(10) AS text FROM ({_POS}) GROUP BY name""")
 def pls_written(t):
     return playlists.to_pls(_entries(t))
 
 
-@query(f"""SELECT name, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<playlist version="1" xmlns="http://xspf.org/ns/0/"><trackList>' || string_agg('<track><location>file:///m/a%20b/' || k || '.mp3</location><title>' || title || '</title>'
-|| coalesce('<creator>' || artist || '</creator>', '') || coalesce('<duration>' || ms || '</duration>', '') || '</track>', '' ORDER BY pos) || '</trackList></playlist>' || chr(10) AS text FROM ({_POS}) GROUP BY name""")
+@query(f"""SELECT name, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<playlist version="1" xmlns="http://xspf.org/ns/0/">' || chr(10) || '  <title>' || {_XML.format("name")} || '</title>' || chr(10) || '  <trackList>' || chr(10)
+|| string_agg('    <track>' || chr(10) || '      <location>file:///m/a%20b/' || k || '.x.mp3</location>' || chr(10) || '      <title>' || {_XML.format("title")} || '</title>' || chr(10) || coalesce('      <creator>' || {_XML.format("artist")} || '</creator>' || chr(10), '')
+|| coalesce('      <album>' || {_XML.format("album")} || '</album>' || chr(10), '') || CASE WHEN ms > 0 THEN '      <duration>' || ms || '</duration>' || chr(10) ELSE '' END || coalesce('      <image>' || {_XML.format("image")} || '</image>' || chr(10), '') || '    </track>' || chr(10), '' ORDER BY pos)
+|| '  </trackList>' || chr(10) || '</playlist>' || chr(10) AS text FROM ({_POS}) GROUP BY name""")
 def xspf_written(t):
     return playlists.to_xspf(_entries(t))
 
