@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tonearm.operators import analytic, changes, entities, relational, sessions, signal
+from tonearm.operators import analytic, changes, entities, relational, sessions, signal, textindex
 
 MIN = 60_000
 
@@ -78,10 +78,11 @@ def test_genres(spark):
 
 def test_search_cuts_before_it_filters(spark):
     docs = spark.createDataFrame([(i, "jazz " * (10 - i) + "x", i % 2 == 0) for i in range(10)] + [(99, "jazzy-night blue", True)], "id long, t string, ok boolean")
-    assert [r.id for r in entities.search(docs, "JAZZ", "id", "t", F.col("ok"), most=3).orderBy(F.desc("rank")).collect()] == [0, 2]
-    assert [r.id for r in entities.search(docs, 'blu "jazzy-', "id", "t").collect()] == [99]
+    index = textindex.built(docs, "id", "t")
+    assert [r.id for r in entities.search(index, docs, "JAZZ", "id", F.col("ok"), most=3).orderBy(F.desc("rank")).collect()] == [0, 2]
+    assert [r.id for r in entities.search(index, docs, 'blu "jazzy-', "id").collect()] == [99]
     try:
-        entities.search(docs, ' "" ', "id", "t")
+        entities.search(index, docs, ' "" ', "id")
         raise AssertionError
     except ValueError:
         pass

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions import names
 
+from . import fuzzy, textindex
 from .ordering import cut, numbered
 
 
@@ -89,35 +90,9 @@ def resolved_album(files: DataFrame, albums: DataFrame, various: str = "Various
     return files.select("path").join(best.select("path", "album_id", names_.alias("rule")), "path", "left").withColumn("rule", F.coalesce("rule", F.lit("new")))
 
 
-def tokens(text: Column) -> Column:
-    """Search tokens: lower case runs of letters, digits, ``_`` and ``-``."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s-]", ""), r"\s+"), lambda w: w != "")
-
-
-def search(docs: DataFrame, query: str, id_col: str, text: str, keep: Column | None = None, most: int | None = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Prefix search: every query token must start some word; ranked by BM25; cut to ``most`` and only then filtered by ``keep``.
-
-    Texts are read once: each document's length and counts are stored, and all totals come from that table.
-    """
-    wanted = list(dict.fromkeys(t for t in ("".join(c for c in w if c.isalnum() or c in "_-") for w in query.lower().split()) if t))
-    if not wanted:
-        raise ValueError("empty query")
-    matching = lambda q: F.size(F.filter("__t", lambda w: F.startswith(w, F.lit(q))))
-    sized = docs.select(id_col, tokens(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
-    hits = cut(sized.select(id_col, F.size("__t").alias("len"), *[matching(q).alias(f"c{i}") for i, q in enumerate(wanted)]))
-    found = [F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in range(len(wanted))]
-    df = hits.agg(F.count("*").alias("n"), F.avg("len").alias("len"), *found).first()
-    n, mean = df["n"], df["len"] or 1.0
-    score = F.lit(0.0)
-    for i in range(len(wanted)):
-        c = F.col(f"c{i}")
-        idf = F.log(F.lit(1.0 + (n - df[f"d{i}"] + 0.5) / (df[f"d{i}"] + 0.5)))
-        score = score + idf * c * (k1 + 1) / (c + k1 * (1 - b + b * F.col("len") / mean))
-    every = F.lit(True)
-    for i in range(len(wanted)):
-        every = every & (F.col(f"c{i}") > 0)
-    top = hits.where(every).select(id_col, score.alias("rank"))
-    top = top.orderBy(F.desc("rank"), id_col).limit(most) if most is not None else top
+def search(index: textindex.TextIndex, docs: DataFrame, query: str, id_col: str, keep: Column | None = None, most: int | None = 50) -> DataFrame:
+    """Ids and ranks of a prefix search, best first; cut to ``most`` and only then filtered by ``keep`` over ``docs``."""
+    top = textindex.search(index, query, most).withColumnRenamed("id", id_col)
     return top.join(docs.where(keep).select(id_col), id_col, "left_semi") if keep is not None else top
 
 
@@ -140,6 +115,23 @@ def book_confidence(title: Column, author: Column, c_title: Column, c_authors: C
     return (t * F.when(known, 0.4 + 0.6 * best).otherwise(0.9)).cast("float")
 
 
+def matched_books(books: DataFrame, catalogue: DataFrame, least: float = 0.8) -> DataFrame:
+    """book_id, position and confidence of each book's surest match in a catalogue; of equals the last position.
+
+    ``books``: book_id, title, author; ``catalogue``: position, title, authors.  A confidence never exceeds the similarity of
+    main titles, so only titles that the segment index finds ``least`` alike are compared.  Books of equal title and author are matched once.
+    """
+    key = names.group_key(names.main_title(F.col("title")))
+    asked = books.withColumn("key", key).groupBy("key", "author").agg(F.min("title").alias("title"))
+    offered = catalogue.withColumn("key", key).groupBy("key", "authors").agg(F.max("position").alias("position"), F.min("title").alias("c_title"))
+    pairs = cut(fuzzy.similar(asked.select(F.col("key").alias("text")), offered.select(F.col("key").alias("text")), least).select(F.col("a").alias("key"), F.col("b").alias("c_key")))
+    met = asked.join(pairs, "key").join(offered.withColumnRenamed("key", "c_key"), "c_key")
+    sure = met.withColumn("confidence", book_confidence(F.col("title"), F.col("author"), F.col("c_title"), F.col("authors"))).where(F.col("confidence") >= F.lit(least).cast("float"))
+    best = sure.groupBy("key", "author").agg(F.max(F.struct("confidence", "position")).alias("m"))
+    named = books.withColumn("key", key).alias("x").join(best.alias("y"), (F.col("x.key") == F.col("y.key")) & F.col("x.author").eqNullSafe(F.col("y.author")))
+    return named.select("x.book_id", "m.position", "m.confidence")
+
+
 def best_match(candidates: DataFrame, key: str, confidence: Column, position: str, least: float) -> DataFrame:
     """Per key the surest candidate at or above ``least``; of equals the last one offered."""
     w = Window.partitionBy(key).orderBy(F.desc("confidence"), F.desc(position))

@@ -5,24 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the folder that the session names in ``spark.checkpoint.dir``: no lineage, computed once.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the one that the session names in ``spark.checkpoint.dir``.
 
     Where none is named, a local session takes a temporary folder; on a cluster that is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         base = "file://" + tempfile.mkdtemp(prefix="tonearm-")
-    path = f"{base.rstrip('/')}/tonearm/cut-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tonearm/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: no lineage, computed once."""
+    path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running_total(df: DataFrame, order: list, value: Column, out: str) -> DataFrame:

@@ -320,6 +320,17 @@ def book_matching(t):
     return entities.best_match(pairs, "p_partkey", c.cast("double"), "pos", 0.5).select("p_partkey", "confidence")
 
 
+@query(f"""WITH a AS (SELECT DISTINCT p_name AS n, CASE WHEN p_size % 3 > 0 THEN p_brand END AS w FROM part), b AS (SELECT p_name AS n, p_brand AS w, max(p_partkey) AS pos FROM part GROUP BY 1, 2),
+c AS (SELECT a.n, a.w, b.pos, CAST(CAST(t * CASE WHEN a.w IS NULL THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) + CAST(0.6 AS DOUBLE) * s END AS FLOAT) AS DOUBLE) AS confidence FROM (SELECT a.n, a.w, b.pos, {_SIM.format("a.n", "b.n")} AS t, {_SIM.format("lower(a.w)", "lower(b.w)")} AS s FROM a, b) x JOIN a ON a.n = x.n AND a.w IS NOT DISTINCT FROM x.w JOIN b ON b.pos = x.pos),
+m AS (SELECT n, w, max_by(pos, (confidence, pos)) AS position, max(confidence) AS confidence FROM c WHERE confidence >= 0.8 GROUP BY 1, 2) SELECT p_partkey AS book_id, position, confidence FROM part JOIN m ON n = p_name AND w IS NOT DISTINCT FROM CASE WHEN p_size % 3 > 0 THEN p_brand END""")
+def books_matched_whole(t):
+    """Every book against the whole catalogue, through the index of title segments."""
+    author = F.when(F.col("p_size") % 3 > 0, F.col("p_brand"))
+    books = t.part.select(F.col("p_partkey").alias("book_id"), F.concat("p_name", F.lit(": a tale")).alias("title"), author.alias("author"))
+    offered = t.part.select(F.col("p_partkey").alias("position"), F.concat(F.initcap("p_name"), F.lit(" (2nd)")).alias("title"), F.array("p_brand").alias("authors"))
+    return entities.matched_books(books, offered).withColumn("confidence", F.col("confidence").cast("double"))
+
+
 @query(f"SELECT p_partkey, round(CAST(CAST(len([w for w in string_split(p_name, ' ') if list_contains(string_split(n_name, ' '), w)]) AS DOUBLE) / len(string_split(p_name, ' ')) AS DOUBLE), 4) AS share FROM {_NEXT}")
 def shared_words(t):
     return _with_next(t).select("p_partkey", F.round(names.word_overlap(F.concat(F.lit(" "), "p_name"), F.col("n_name")).cast("double"), 4).alias("share"))
@@ -505,4 +516,4 @@ r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY ln(1.0 + (n - da + 0.5) /
 SELECT doc_id FROM r WHERE place <= 50 AND lang = 'en'""")
 def search_first_fifty(t):
     """The best fifty, of which rows of other languages drop out after the cut."""
-    return entities.search(t.documents, "th nd", "doc_id", "text", F.col("lang") == "en").select("doc_id")
+    return entities.search(t.text_index, t.documents, "th nd", "doc_id", F.col("lang") == "en").select("doc_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tonearm.functions import names, text
-from tonearm.operators import analytic, changes, entities, sessions, signal
+from tonearm.operators import analytic, changes, entities, fuzzy, sessions, signal
 from tonearm.plans.registry import query
 from tonearm.sources import feeds
 
@@ -173,17 +173,23 @@ def album_consolidation(t):
 
 @query("SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}_-]', '', 'g') LIKE 'th%')) > 0 AND len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}_-]', '', 'g') LIKE 'nd%')) > 0")
 def bm25_search(t):
-    return entities.search(t.documents, "th nd", "doc_id", "text", most=None).select("doc_id")
+    return entities.search(t.text_index, t.documents, "th nd", "doc_id", most=None).select("doc_id")
 
 
-@query("""SELECT a, b, round(c, 5) AS confidence FROM (SELECT x.p_partkey a, y.p_partkey b, 1.0 - levenshtein(x.p_name, y.p_name)::DOUBLE / greatest(length(x.p_name), length(y.p_name)) c, row_number() OVER (PARTITION BY x.p_partkey ORDER BY (1.0 - levenshtein(x.p_name, y.p_name)::DOUBLE / greatest(length(x.p_name), length(y.p_name)))::FLOAT DESC, y.p_partkey DESC) r
-FROM part x JOIN part y ON x.p_type = y.p_type AND x.p_brand = y.p_brand AND x.p_partkey <> y.p_partkey) WHERE r = 1 AND c >= 0.3""")
+@query("""WITH p AS (SELECT x.p_partkey a, y.p_partkey b, (1.0 - levenshtein(x.p_name, y.p_name)::DOUBLE / greatest(length(x.p_name), length(y.p_name)))::FLOAT c FROM part x JOIN part y ON x.p_partkey <> y.p_partkey)
+SELECT a, b, round(c::DOUBLE, 5) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b DESC) r FROM p) WHERE r = 1 AND c >= 0.3""")
 def levenshtein_match(t):
-    """The best match of each part among all parts of its type and brand."""
-    x = t.part.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("n"), "p_type", "p_brand")
-    y = t.part.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("m"), "p_type", "p_brand")
-    best = entities.best_match(x.join(y, ["p_type", "p_brand"]).where("a <> b"), "a", names.similarity(F.col("n"), F.col("m")), "b", 0.3)
-    return best.select("a", "b", F.round(F.col("confidence").cast("double"), 5).alias("confidence"))
+    """The best match of each part among all other parts."""
+    best = fuzzy.other_row_matches(t.part, "p_partkey", "p_name", 0.3)
+    return best.select("a", "b", F.round(F.col("similarity").cast("double"), 5).alias("confidence"))
+
+
+@query("""WITH u AS (SELECT DISTINCT o_orderpriority || ' ' || o_orderstatus AS s FROM orders)
+SELECT x.s AS a, y.s AS b, round((1.0 - levenshtein(x.s, y.s)::DOUBLE / greatest(length(x.s), length(y.s)))::FLOAT::DOUBLE, 5) AS similarity FROM u x, u y WHERE 1.0 - levenshtein(x.s, y.s)::DOUBLE / greatest(length(x.s), length(y.s)) >= 0.55""")
+def similar_labels(t):
+    """All pairs of labels that are 0.55 alike or more, by the segment index."""
+    labels = t.orders.select(F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("text"))
+    return fuzzy.similar(labels, labels, 0.55).select("a", "b", F.round(F.col("similarity").cast("double"), 5).alias("similarity"))
 
 
 @query("SELECT p_partkey, lower(trim(regexp_replace('  ' || upper(p_name) || '   x ', '\\s+', ' ', 'g'))) AS k FROM part")
