@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tonearm.functions import names, text
-from tonearm.operators import analytic, changes, entities, fuzzy, sessions, signal
+from tonearm.operators import analytic, changelog, changes, entities, fuzzy, sessions, signal
 from tonearm.plans.registry import query
 from tonearm.sources import feeds
 
@@ -141,6 +141,53 @@ def delta_round_trip(t):
     return changes.delta_applied(old, changed.withColumn("missing", F.lit(False)), gone.select("id"), "o_orderkey")
 
 
+def _log(t, states):
+    """A log of orders through so many of five states; only the status is shown."""
+    k, s, p = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_totalprice")
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    one = rows.where(k % 5 != 0)
+    edited = rows.select("o_orderkey", F.when(k % 100 == 1, "X").otherwise(s).alias("o_orderstatus"), F.when(k % 100 == 2, p + 1).otherwise(p).alias("o_totalprice"))
+    two, three = edited.where(k % 5 != 0), edited.where(((k % 5 != 0) & (k % 50 != 3)) | (k % 200 == 0))
+    four = three.withColumn("o_orderstatus", F.when(k % 3 == 1, "Y").otherwise(s))
+    five = four.where(k % 50 != 7).withColumn("o_orderstatus", F.when(k % 100 == 9, "Z").otherwise(s))
+    log = changelog.ChangeLog.created(one, "o_orderkey", ["o_orderstatus"])
+    for state in (two, three, four, five)[: states - 1]:
+        log.record(state)
+    return log
+
+
+_THREE = "SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 1 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 100 = 2 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE (o_orderkey % 5 <> 0 AND o_orderkey % 50 <> 3) OR o_orderkey % 200 = 0"
+
+
+@query("""WITH k AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders), x AS (
+SELECT 'three' AS at, 1 AS since, 'rows' AS kind, count(*) FILTER ((k % 5 <> 0 AND k % 50 <> 3 AND k % 100 = 1 AND s <> 'X') OR k % 200 = 0) AS changed, count(*) FILTER (k % 50 = 3) AS removed FROM k
+UNION ALL SELECT 'three', 2, 'rows', count(*) FILTER (k % 200 = 0), count(*) FILTER (k % 50 = 3) FROM k UNION ALL SELECT 'three', 3, 'none', 0, 0 UNION ALL SELECT 'three', 4, 'full', 0, 0 UNION ALL SELECT 'three', -1, 'full', 0, 0 UNION ALL SELECT 'another', 1, 'full', 0, 0
+UNION ALL SELECT 'five', 1, 'full', 0, 0 UNION ALL SELECT 'five', 3, 'full', 0, 0 UNION ALL SELECT 'five', 4, 'rows', count(*) FILTER (k % 100 = 9), count(*) FILTER (k % 50 = 7) FROM k UNION ALL SELECT 'five', 5, 'none', 0, 0) SELECT * FROM x""")
+def revision_deltas(t):
+    """How replicas at several revisions catch up, before and after a compaction."""
+    out, log = [], _log(t, 3)
+    asked = [("three", log, log.catalogue_id, n) for n in (1, 2, 3, 4, -1)] + [("another", log, "0" * 32, 1)]
+    later = _log(t, 4)
+    later.compacted()
+    later.record(_log(t, 5).current().drop("rev"))
+    asked += [("five", later, later.catalogue_id, n) for n in (1, 3, 4, 5)]
+    for at, log, name, since in asked:
+        d = log.delta(name, since)
+        out.append((at, since, d.kind, d.changed.count() if d.changed else 0, d.removed.count() if d.removed else 0))
+    return t.spark.createDataFrame(out, "at string, since int, kind string, changed long, removed long")
+
+
+@query(_THREE)
+def replica_caught_up(t):
+    """A replica of the first revision after a delta of the third, through a compaction."""
+    log = _log(t, 2)
+    replica = log.current().drop("rev").withColumn("o_totalprice", F.col("o_totalprice"))
+    first = log.revision()
+    log.record(_log(t, 3).current().drop("rev"))
+    log.compacted()
+    return changelog.caught_up(replica, log.delta(log.catalogue_id, first), "o_orderkey", log)
+
+
 @query("SELECT doc_id AS id FROM documents WHERE doc_id % 10 = 1 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 10 = 2 AND doc_id > 50 ORDER BY 1")
 def removed_rows(t):
     stones = t.documents.where("doc_id % 10 = 1").select(F.col("doc_id").alias("id"), F.lit(9).alias("rev"))
