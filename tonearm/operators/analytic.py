@@ -5,27 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carried import carried_forward, carried_sum, held_peak, moving_average
+
 
 def start_offsets(parts: DataFrame, book: str, order: list, duration: str, out: str = "start_offset_ms") -> DataFrame:
     """Sum of what comes before, 0 for the first."""
-    w = Window.partitionBy(book).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df_with(parts, out, F.coalesce(F.sum(duration).over(w), F.lit(0)))
-
-
-def df_with(df: DataFrame, name: str, c: Column) -> DataFrame:
-    return df.withColumn(name, c)
+    return carried_sum(parts, book, order, F.col(duration), out)
 
 
 def chapter_durations(chapters: DataFrame, part: str, start: str, part_end: str, order: list, out: str = "duration_ms") -> DataFrame:
-    """To the next start, the last one to the part's end, never negative."""
-    nxt = F.lead(start).over(Window.partitionBy(part).orderBy(*order))
-    return chapters.withColumn(out, F.greatest(F.lit(0), F.coalesce(nxt, F.col(part_end)) - F.col(start)))
+    """To the next start, the last one to the part's end, never negative. ``order``: column names, ascending."""
+    nxt = carried_forward(chapters, part, [F.desc(c) for c in order], F.struct(F.col(start).alias("s")), "__next", own=False)
+    return nxt.withColumn(out, F.greatest(F.lit(0), F.coalesce("__next.s", F.col(part_end)) - F.col(start))).drop("__next")
 
 
 def changed_rows(df: DataFrame, key: str, order: list, value: str) -> DataFrame:
     """Rows whose value differs from the row before in the group (nulls are equal)."""
-    before = F.lag(F.struct(value)).over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("__b", before).where(F.col("__b").isNull() | ~F.col(f"__b.{value}").eqNullSafe(F.col(value))).drop("__b")
+    before = carried_forward(df, key, order, F.struct(F.col(value).alias("v")), "__b", own=False)
+    return before.where(F.col("__b").isNull() | ~F.col("__b.v").eqNullSafe(F.col(value))).drop("__b")
 
 
 def dense_positions(df: DataFrame, group: str, order: list, out: str = "position", base: int = 0) -> DataFrame:
@@ -48,29 +45,21 @@ def sliding_minimum(df: DataFrame, stream: str, order: str, value: str, ahead: i
     return df.withColumn(out, F.min(value).over(Window.partitionBy(stream).orderBy(order).rowsBetween(0, ahead)))
 
 
-def folded(df: DataFrame, key: str, order: str, value: str, zero: Column, step, finish=None, out: str = "folded") -> DataFrame:
-    """One state per key from its values in order: a fold inside the engine, for groups of bounded length."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"])
-    return df.groupBy(key).agg(F.aggregate(items, zero, step, finish or (lambda a: a)).alias(out))
-
-
 def ewma(df: DataFrame, key: str, order: str, value: str, weight: float = 0.3, out: str = "rate") -> DataFrame:
     """Moving average in which a new value counts ``weight``; the first one starts it."""
-    step = lambda a, v: F.when(a.isNull(), v.cast("double")).otherwise(a * (1 - weight) + v * weight)
-    return folded(df, key, order, value, F.lit(None).cast("double"), step, None, out)
+    return moving_average(df, key, [order], value, weight, out)
 
 
 def peak_hold(df: DataFrame, key: str, order: str, value: str, decay: float, out: str = "peak") -> DataFrame:
     """The greater of each new value and the decayed peak."""
-    return folded(df, key, order, value, F.lit(0.0), lambda a, v: F.greatest(F.abs(v).cast("double"), a * decay), None, out)
+    return held_peak(df, key, [order], value, decay, out)
 
 
 def hysteresis(df: DataFrame, key: str, order: list, value: str, on: float, off: float, out: str = "matched") -> DataFrame:
     """True from a value at or below ``on`` until one above ``off`` or a null."""
     v = F.col(value)
     decisive = F.when(v.isNull(), F.lit(False)).when(v <= on, F.lit(True)).when(v > off, F.lit(False))
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.coalesce(F.last(decisive, ignorenulls=True).over(w), F.lit(False)))
+    return carried_forward(df, key, order, decisive, "__m").withColumn(out, F.coalesce("__m", F.lit(False))).drop("__m")
 
 
 def listened_by_day(sessions: DataFrame, zone: str = "UTC") -> DataFrame:

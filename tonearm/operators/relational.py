@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tonearm.functions.names import ascii_lower
 
+from .carried import carried_forward
+
 PER_PAGE_MOST = 500
 
 
@@ -57,8 +59,10 @@ def first_per_group(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def left_join_first(parents: DataFrame, children: DataFrame, key: str, order: list) -> DataFrame:
-    """Each parent with its first child, or nulls; no correlated subquery."""
-    return parents.join(first_per_group(children, [key], order), key, "left")
+    """Each parent with its first child, or nulls: the least row of each key, taken before the shuffle. ``order``: column names."""
+    rest = [c for c in children.columns if c != key]
+    first = children.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__c")).select(key, "__c.*")
+    return parents.join(first, key, "left")
 
 
 def starting_at_or_before(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, tie: str, keep: list[str]) -> DataFrame:
@@ -67,27 +71,30 @@ def starting_at_or_before(points: DataFrame, spans: DataFrame, key: str, at: str
     Both sides are sorted once by (key, time) and the last span carried forward: no range join, no pair is built.
     """
     value = F.struct(*[F.col(c).alias(c) for c in keep])
-    p = points.select(F.struct(*points.columns).alias("__row"), F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(1).alias("__is"), F.lit(None).cast("long").alias("__tie"))
-    s = spans.select(F.lit(None).cast(p.schema["__row"].dataType).alias("__row"), F.col(key).alias("__k"), F.col(start).alias("__t"), F.lit(0).alias("__is"), F.col(tie).cast("long").alias("__tie"), value.alias("__v"))
-    both = p.withColumn("__v", F.lit(None).cast(s.schema["__v"].dataType)).unionByName(s)
-    w = Window.partitionBy("__k").orderBy("__t", "__is", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__is = 1")
-    return found.select("__row.*", *[F.col(f"__v.{c}").alias(f"found_{c}") for c in keep])
+    p = points.select(F.struct(*points.columns).alias("__row"), F.col(key).alias("__key"), F.col(at).alias("__t"), F.lit(1).alias("__is"), F.lit(None).cast("long").alias("__tie"))
+    s = spans.select(F.lit(None).cast(p.schema["__row"].dataType).alias("__row"), F.col(key).alias("__key"), F.col(start).alias("__t"), F.lit(0).alias("__is"), F.col(tie).cast("long").alias("__tie"), value.alias("__span"))
+    both = p.withColumn("__span", F.lit(None).cast(s.schema["__span"].dataType)).unionByName(s)
+    found = carried_forward(both, "__key", ["__t", "__is", "__tie"], F.col("__span"), "__found").where("__is = 1")
+    return found.select("__row.*", *[F.col(f"__found.{c}").alias(f"found_{c}") for c in keep])
 
 
 def resolve_offset(points: DataFrame, parts: DataFrame) -> DataFrame:
     """(book_id, x) to (part_index, within): the first part with x < start + duration; past the end, the last part at its duration.
 
-    ``parts``: book_id, part_index, start_offset_ms, duration_ms.  Parts of a book are gathered once (a book has few), then searched per point.
+    ``parts``: book_id, part_index, start_offset_ms, duration_ms, ends rising with part_index.  Points and ends are sorted once, latest first,
+    and the nearest end after a point is carried to it; a book's last part comes before all of its points.
     """
-    item = F.struct("part_index", "start_offset_ms", "duration_ms")
-    books = parts.groupBy("book_id").agg(F.array_sort(F.collect_list(item)).alias("__p"))
-    x = F.greatest(F.col("x"), F.lit(0))
-    hit = F.get(F.filter("__p", lambda p: x < p["start_offset_ms"] + p["duration_ms"]), F.lit(0))
-    last = F.element_at("__p", -1)
-    joined = points.join(books, "book_id")
-    within = F.when(hit.isNotNull(), F.greatest(x - hit["start_offset_ms"], F.lit(0))).otherwise(last["duration_ms"])
-    return joined.select(*points.columns, F.coalesce(hit["part_index"], last["part_index"]).alias("part_index"), within.alias("within_ms"))
+    x = F.greatest(F.col("x"), F.lit(0)).cast("long")
+    part = lambda over: F.struct(F.col("part_index").cast("long").alias("part_index"), F.col("start_offset_ms").cast("long").alias("start"), F.col("duration_ms").cast("long").alias("duration"), F.lit(over).alias("over"))
+    row, book, none = F.struct(*points.columns), F.col("book_id").alias("__key"), F.lit(None).cast("long").alias("__i")
+    p = points.select(row.alias("__row"), book, x.alias("__t"), F.lit(1).alias("__is"), none)
+    s = parts.select(book, (F.col("start_offset_ms") + F.col("duration_ms")).cast("long").alias("__t"), F.lit(2).alias("__is"), F.col("part_index").cast("long").alias("__i"), part(False).alias("__part"))
+    last = parts.groupBy("book_id").agg(F.max_by(part(True), "part_index").alias("__part")).select(book, F.lit((1 << 63) - 1).alias("__t"), F.lit(0).alias("__is"), none, "__part")
+    rows = p.unionByName(s, allowMissingColumns=True).unionByName(last, allowMissingColumns=True)
+    # an end equal to a point isn't after it, so points come before ends; of equal ends the first part comes last
+    found = carried_forward(rows, "__key", [F.desc("__t"), "__is", F.desc("__i")], F.col("__part"), "__hit").where("__is = 1 AND __hit IS NOT NULL")
+    within = F.when(F.col("__hit.over"), F.col("__hit.duration")).otherwise(F.greatest(F.col("__t") - F.col("__hit.start"), F.lit(0)))
+    return found.select("__row.*", F.col("__hit.part_index").alias("part_index"), within.alias("within_ms"))
 
 
 def in_input_order(ids: DataFrame, table: DataFrame, key: str, position: str = "pos") -> DataFrame:
