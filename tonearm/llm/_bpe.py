@@ -62,24 +62,40 @@ class Powers:
 _POWERS = Powers()
 
 
+def _placed(at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Each byte mixed with its place."""
+    return mixed(_POWERS.upto(int(at.max()) + 1 if len(at) else 0)[at] * (data.astype(np.uint64) + np.uint64(1)))
+
+
+NEAR = 16  # places whose mixed bytes are looked up
+_NEAR = _placed(np.repeat(np.arange(NEAR), 256), np.tile(np.arange(256), NEAR))
+
+
 def hashed_spans(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each of the adjoining, non-empty byte spans that cover ``data``.
 
     Every byte is mixed with its place before the sum, so the hash is no polynomial: texts that agree in
     all sums of powers (Thue-Morse words and their exchanges) part like any others.
     """
-    at = np.arange(len(data), dtype=np.int64)
-    at -= np.repeat(starts, lens)
-    h = _POWERS.upto(int(lens.max()))[at]
-    h *= data.astype(np.uint64) + np.uint64(1)
-    h ^= h >> _S33
-    h *= _M1
-    h ^= h >> _S33
-    h *= _M2
-    h ^= h >> _S33
+    at = places(starts, lens, len(data))
+    far = np.flatnonzero(at >= NEAR)
+    near = np.minimum(at, NEAR - 1)
+    near <<= 8
+    near |= data
+    h = _NEAR[near]
+    if len(far):
+        h[far] = _placed(at[far], data[far])
     return mixed(np.add.reduceat(h, starts) + lens.astype(np.uint64))
 
 
+def places(starts: np.ndarray, lens: np.ndarray, n: int, base: np.ndarray | None = None) -> np.ndarray:
+    """For each byte of adjoining spans its place in its span, plus the span's ``base``."""
+    narrow = np.int32 if n < 1 << 30 else np.int64
+    at = np.arange(n, dtype=narrow)
+    at -= np.repeat((starts if base is None else starts - base).astype(narrow), lens)
+    return at
+
+
 def release(caches: bool = False) -> None:
     """Gives freed memory back to the system, and with ``caches`` the encoders' too: workers outlive their tasks."""
     if caches:
@@ -177,7 +193,10 @@ class ChunkCache:
             self._enter(new, slot)
             got[lost] = slot[back]
         wrong = self.size[got] != lens
-        same = self.raw[np.minimum(np.repeat(self.at[got] - starts, lens) + np.arange(len(data)), self.raw_n - 1)] == data
+        at = places(starts, lens, len(data), self.at[got])
+        if wrong.any():  # a shorter kept chunk: its bytes may end before
+            at = np.minimum(at, self.raw_n - 1)
+        same = self.raw[at] == data
         if wrong.any() or not same.all():  # another chunk of equal hash: this one gets a slot of its own for once
             wrong |= ~np.logical_and.reduceat(same, starts)
             at = np.flatnonzero(wrong)
