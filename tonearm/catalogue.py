@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tonearm.plans import browse, library, registry, shapes  # noqa: F401  they register their queries
+from tonearm.plans import browse, library, registry, shapes, streams  # noqa: F401  they register their queries
 
 
 def queries() -> dict:

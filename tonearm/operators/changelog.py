@@ -58,16 +58,17 @@ class ChangeLog:
 
     def _read(self, kind: str, schema: str, since: int) -> DataFrame:
         """Rows of one kind from commits after ``since``; only their folders are opened."""
-        numbers = [r["seq"] for r in self._commits().where(F.col("seq") > since).select("seq").distinct().orderBy("seq").collect()]
+        numbers = [r["seq"] for r in self.commits().where(F.col("seq") > since).select("seq").distinct().orderBy("seq").collect()]
         paths = [f"{self.path}/{kind}/seq={n}" for n in numbers]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _commits(self) -> DataFrame:
+    def commits(self) -> DataFrame:
+        """seq, rev, base, changed and removed of every commit."""
         return self.spark.read.schema("seq long, rev long, base boolean, changed long, removed long").parquet(f"{self.path}/commits/*")
 
     def _head(self) -> tuple[int, int, int]:
         """The last commit, its revision, and the last commit with a base (0: none)."""
-        r = self._commits().agg(F.max("seq").alias("seq"), F.max("rev").alias("rev"), F.max(F.when(F.col("base"), F.col("seq"))).alias("base")).first()
+        r = self.commits().agg(F.max("seq").alias("seq"), F.max("rev").alias("rev"), F.max(F.when(F.col("base"), F.col("seq"))).alias("base")).first()
         return r["seq"], r["rev"], r["base"] or 0
 
     def _commit(self, seq: int, rev: int, rows: DataFrame, gone: DataFrame | None, base: bool = False) -> None:
@@ -146,7 +147,7 @@ class ChangeLog:
             return Delta("full", self.catalogue_id, rev)
         if since == rev:
             return Delta("none", self.catalogue_id, rev)
-        known = self._commits().where(F.col("rev") <= since).agg(F.max("seq")).first()[0] or 0
+        known = self.commits().where(F.col("rev") <= since).agg(F.max("seq")).first()[0] or 0
         if known >= base:  # later commits alone
             changed = self._latest(known).where("NOT dead").drop("dead").where(F.col("rev") > since)
         else:  # some were compacted: rows of the base know their revision

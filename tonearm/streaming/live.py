@@ -1,36 +1,124 @@
-"""Streams: sessions, latest positions, title history, throttling and rates, each with state per key."""
+"""Streams: sessions, latest positions, title history, throttling and rates, with state per key that timers end.
+
+Each stream takes event time from its rows, with a watermark ``late`` behind it; rows behind the watermark are dropped by the engine (it begins at
+1970, so earlier times are always late).  A
+key's state is a row in the state store.  A timer ends it once the watermark shows that the key has been silent for long enough, so state
+falls again, however many keys there have been.  Results go to files: each batch to a folder of its own, written again as a whole if the
+batch is repeated.  The rocksdb state store is set for the query's session when a stream is built, as timers need it.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tonearm.operators.ordering import shared_folder
+from tonearm.operators.sessions import DAY_MS, GAP_MS, SESSIONS, STATE, Fold
+
+LATE = "10 seconds"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+class Keyed(StatefulProcessor):
+    """A fold over a key's rows in order of ``by``.
+
+    ``step(key, state, rows)`` gives the new state, rows to put out and when the key is due (event time in ms, or None);
+    ``due(key, state, at)`` gives the same when a timer fires that no later row has replaced; a state of None is cleared.
+    """
+
+    def __init__(self, state: str, out: str, by: list[str], step: Callable, due: Callable):
+        self.state, self.out, self.by, self.step, self.due = state, _names(out), by, step, due
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", f"{self.state}, due long")
+
+    def _set(self, state: tuple | None, due: int | None, old: int | None) -> None:
+        if old is not None and old != due:
+            self.handle.deleteTimer(old)
+        if state is None:
+            self.value.clear()
+            return
+        self.value.update((*state, due))
+        if due is not None and due != old:
+            self.handle.registerTimer(due)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        *state, old = self.value.get() if self.value.exists() else (None,)
+        pdf = pd.concat(list(rows)).sort_values(self.by, kind="stable")
+        state, found, due = self.step(key, tuple(state) or None, pdf)
+        self._set(state, max(due, timerValues.getCurrentWatermarkInMs() + 1) if due is not None else None, old)
+        yield pd.DataFrame(found, columns=self.out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.value.exists():
+            return
+        *state, old = self.value.get()
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if old != at:
+            return
+        state, found, due = self.due(key, tuple(state), at)
+        self._set(state, max(due, timerValues.getCurrentWatermarkInMs() + 1) if due is not None else None, None)
+        yield pd.DataFrame(found, columns=self.out)
 
-from tonearm.operators.sessions import GAP_MS, SESSIONS, STATE, Fold
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        if not self.value.exists():
+            row = [None if pd.isna(x) else int(x) for x in initialState[_names(self.state)].iloc[0].tolist()]
+            self.value.update((*row, None))
 
+    def close(self) -> None:
+        pass
 
-def live_sessions(updates: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
-    """A stream of sessions: closed ones once, and the open one whenever it changes (upsert by book, user, seq)."""
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["now_ms", "offset_ms"], kind="stable")
-        fold = Fold(int(pdf["duration_ms"].fillna(0).max()), gap_ms)
-        if state.exists:
-            offset, seq, a, b, c, d, done = state.get
-            fold.offset, fold.seq, fold.finished_at = offset, seq, done
+def _stateful(rows: DataFrame, at: str, keys: list[str], late: str, out: str, processor: Keyed, initial: DataFrame | None = None) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    timed = rows.withColumn("__at", F.timestamp_millis(at)).withWatermark("__at", late)
+    first = {"initialState": initial.groupBy(*keys)} if initial is not None else {}
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, out, "append", "EventTime", **first)
+
+
+def live_sessions(updates: DataFrame, gap_ms: int = GAP_MS, forget_ms: int = 90 * DAY_MS, late: str = LATE, positions: DataFrame | None = None) -> DataFrame:
+    """Sessions of updates (book_id, user_id, offset_ms, now_ms, duration_ms), each put out once: when another follows or it has been silent for the gap.
+
+    The saved place outlives sessions by ``forget_ms``; ``positions`` (book_id, user_id, offset_ms) gives places saved before the stream began.
+    """
+
+    def fold_of(state, duration):
+        fold = Fold(duration, gap_ms)
+        if state is not None:
+            fold.offset, fold.seq, a, b, c, d, fold.finished_at = state
             fold.session = [a, b, c, d] if a is not None else None
+        return fold
+
+    def packed(fold):
+        return (fold.offset, fold.seq, *(fold.session or (None,) * 4), fold.finished_at)
+
+    def step(key, state, pdf):
+        fold = fold_of(state, int(pdf["duration_ms"].fillna(0).max()))
+        fold.seq = fold.seq or 0
         for offset, now in zip(pdf["offset_ms"].tolist(), pdf["now_ms"].tolist()):
             fold.update(int(offset), int(now))
-        state.update((fold.offset, fold.seq, *(fold.session or (None,) * 4), fold.finished_at))
-        rows = [(*key, *c, False) for c in fold.closed]
-        if fold.session:
-            rows.append((*key, fold.seq - 1, *fold.session, True))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in SESSIONS.split(", ")])
+        last = int(pdf["now_ms"].max())
+        return packed(fold), [(*key, *c, False) for c in fold.closed], fold.session[1] + gap_ms + 1 if fold.session else last + forget_ms
 
-    return updates.groupBy("book_id", "user_id").applyInPandasWithState(run, SESSIONS, STATE, "update", GroupStateTimeout.NoTimeout)
+    def due(key, state, at):
+        fold = fold_of(state, 0)
+        if fold.session is None:
+            return None, [], None
+        found, ended = [(*key, fold.seq - 1, *fold.session, False)], fold.session[1]
+        fold.session = None
+        return packed(fold), found, ended + forget_ms
+
+    saved = positions.select("book_id", "user_id", F.col("offset_ms").cast("long").alias("offset"), F.lit(0).cast("long").alias("seq"), *[F.lit(None).cast("long").alias(c) for c in _names(STATE)[2:]]) if positions is not None else None
+    return _stateful(updates, "now_ms", ["book_id", "user_id"], late, SESSIONS, Keyed(STATE, SESSIONS, ["now_ms", "offset_ms"], step, due), saved)
 
 
 def latest_positions(updates: DataFrame) -> DataFrame:
@@ -38,43 +126,44 @@ def latest_positions(updates: DataFrame) -> DataFrame:
     return updates.groupBy("book_id", "user_id").agg(F.max_by("offset_ms", "now_ms").alias("offset_ms"), F.max("now_ms").alias("updated_at"))
 
 
-def title_history(titles: DataFrame) -> DataFrame:
-    """(station, title, at) where the title differs from the station's last one."""
+def title_history(titles: DataFrame, forget_ms: int = 90 * DAY_MS, late: str = LATE) -> DataFrame:
+    """(station, title, at) where the title differs from the station's last one; a station silent for ``forget_ms`` starts anew."""
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, rows = (state.get[0] if state.exists else None), []
-        for title, at in pd.concat(list(batches)).sort_values("at", kind="stable")[["title", "at"]].itertuples(index=False):
-            if title != last:
+    def step(key, state, pdf):
+        known, last, rows = state is not None, state[0] if state else None, []
+        for title, at in zip(pdf["title"].tolist(), pdf["at"].tolist()):
+            title = None if pd.isna(title) else title
+            if not known or title != last:
                 rows.append((key[0], title, at))
-                last = title
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=["station", "title", "at"])
+            known, last = True, title
+        return (last,), rows, int(pdf["at"].max()) + forget_ms
 
-    return titles.groupBy("station").applyInPandasWithState(run, "station string, title string, at long", "last string", "append", GroupStateTimeout.NoTimeout)
+    out = "station string, title string, at long"
+    return _stateful(titles, "at", ["station"], late, out, Keyed("last string", out, ["at"], step, lambda key, state, at: (None, [], None)))
 
 
-def throttled(events: DataFrame, interval_ms: int) -> DataFrame:
-    """(key, at): the first event at once, then at most one per interval."""
+def throttled(events: DataFrame, interval_ms: int, late: str = LATE) -> DataFrame:
+    """(key, at): the first event at once, then at most one per interval; the state ends with the interval."""
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, rows = (state.get[0] if state.exists else None), []
-        for at in sorted(pd.concat(list(batches))["at"].tolist()):
+    def step(key, state, pdf):
+        last, rows = state[0] if state else None, []
+        for at in pdf["at"].tolist():
             if last is None or at - last >= interval_ms:
                 rows.append((key[0], at))
                 last = at
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=["key", "at"])
+        return (last,), rows, last + interval_ms
 
-    return events.groupBy("key").applyInPandasWithState(run, "key string, at long", "last long", "append", GroupStateTimeout.NoTimeout)
+    out = "key string, at long"
+    return _stateful(events, "at", ["key"], late, out, Keyed("last long", out, ["at"], step, lambda key, state, at: (None, [], None)))
 
 
-def rates(ticks: DataFrame, weight: float = 0.3, window_ms: int = 1000) -> DataFrame:
+def rates(ticks: DataFrame, weight: float = 0.3, window_ms: int = 1000, forget_ms: int = 3_600_000, late: str = LATE) -> DataFrame:
     """(key, at, rate, eta_s) from ticks (key, at, done, total): a moving average over windows of a second at least."""
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t, d, rate = state.get if state.exists else (None, None, None)
+    def step(key, state, pdf):
+        t, d, rate = state or (None, None, None)
         rows = []
-        for at, done, total in pd.concat(list(batches)).sort_values("at", kind="stable")[["at", "done", "total"]].itertuples(index=False):
+        for at, done, total in zip(pdf["at"].tolist(), pdf["done"].tolist(), pdf["total"].tolist()):
             if t is None:
                 t, d = int(at), int(done)
             elif at - t >= window_ms:
@@ -82,10 +171,10 @@ def rates(ticks: DataFrame, weight: float = 0.3, window_ms: int = 1000) -> DataF
                 rate = now if rate is None else rate * (1 - weight) + now * weight
                 t, d = int(at), int(done)
             rows.append((key[0], int(at), rate, (total - done) / rate if rate else None))
-        state.update((t, d, rate))
-        yield pd.DataFrame(rows, columns=["key", "at", "rate", "eta_s"])
+        return (t, d, rate), rows, int(pdf["at"].max()) + forget_ms
 
-    return ticks.groupBy("key").applyInPandasWithState(run, "key string, at long, rate double, eta_s double", "t long, d long, rate double", "append", GroupStateTimeout.NoTimeout)
+    out = "key string, at long, rate double, eta_s double"
+    return _stateful(ticks, "at", ["key"], late, out, Keyed("t long, d long, rate double", out, ["at"], step, lambda key, state, at: (None, [], None)))
 
 
 def windowed_counts(events: DataFrame, ts: str, late: str, window: str, slide: str | None, keys: list[str]) -> DataFrame:
@@ -93,9 +182,29 @@ def windowed_counts(events: DataFrame, ts: str, late: str, window: str, slide: s
     return events.withWatermark(ts, late).groupBy(F.window(ts, window, slide) if slide else F.window(ts, window), *keys).agg(F.count("*").alias("n"))
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there and returns its memory table: a scheduled refresh pass."""
-    spark: SparkSession = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def to_folders(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each batch whole to a folder of its own: a repeated batch leaves what it left before."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def run_available(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+    """A scheduled refresh pass: runs a stream over all that is there, then stops it; returns what is in its folders so far.
+
+    With a ``checkpoint`` and ``out`` of an earlier pass it goes on where that one ended.  Of an aggregation ("complete") the last batch counts.
+    """
+    spark = stream.sparkSession
+    out, checkpoint = out or shared_folder(spark, "stream"), checkpoint or shared_folder(spark, "stream-state")
+    q = stream.writeStream.outputMode(mode).foreachBatch(to_folders(out)).option("checkpointLocation", checkpoint).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    found = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch int").option("basePath", out).parquet(f"{out}/batch=*")
+    if mode == "complete":
+        last = found.agg(F.max("batch")).first()[0]
+        found = found.where(F.col("batch") == (last if last is not None else -1))
+    return found.drop("batch")
