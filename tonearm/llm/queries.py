@@ -115,5 +115,23 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string([substr('ABC
 CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM d"""
 
 
+#: CRC-32 by bits, prefixes by chained hashes, subtree sums through each node's smallest member. Turns of equal number don't occur there.
+OP13_SQL = """WITH RECURSIVE ids AS (SELECT DISTINCT conv_id AS c, [ascii(ch) for ch in string_split(CAST(conv_id AS VARCHAR), '')] AS codes FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT c, codes, 1 AS i, CAST(4294967295 AS BIGINT) AS r FROM ids UNION ALL SELECT c, codes, i + 1, list_reduce(list_prepend(xor(r, CAST(codes[i] AS BIGINT)), CAST(range(8) AS BIGINT[])), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END) FROM crc WHERE i <= len(codes)),
+heads AS (SELECT c, xor(r, CAST(4294967295 AS BIGINT)) % 9 AS h, c - c % 5 AS b FROM crc WHERE i = len(codes) + 1),
+own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS w FROM conversations WHERE conv_id IS NOT NULL),
+again AS (SELECT heads.c, p AS k, w FROM heads JOIN own ON own.c = heads.b WHERE p <= h UNION ALL SELECT heads.c, 1000000 + p, w FROM heads JOIN own ON own.c = heads.c WHERE p > h),
+turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, w FROM again),
+chains AS (SELECT c, 0 AS d, '' AS k, CAST(0 AS BIGINT) AS size FROM heads UNION ALL SELECT t.c, CAST(t.d AS INT), sha256(chains.k || chr(1) || strlen(t.w.r) || ':' || t.w.r || t.w.t), strlen(t.w.t) FROM chains JOIN turns t ON t.c = chains.c AND t.d = chains.d + 1),
+lengths AS (SELECT c, max(d) AS n FROM chains GROUP BY 1),
+nodes AS (SELECT d, k, min(c) AS conv, count(*) AS n_convs, max(size) AS size, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = n), '') AS ends FROM chains JOIN lengths USING (c) GROUP BY 1, 2),
+place AS (SELECT c, d, conv FROM chains JOIN nodes USING (d, k)),
+tree AS (SELECT x.*, p.conv AS parent FROM nodes x LEFT JOIN place p ON p.c = x.conv AND p.d = x.d - 1),
+kids AS (SELECT parent AS conv, d - 1 AS d, count(*) AS n FROM tree WHERE d > 0 GROUP BY 1, 2),
+whole AS (SELECT p.conv, p.d, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.size) AS saved FROM nodes x JOIN place p ON p.c = x.conv AND p.d <= x.d LEFT JOIN kids ON kids.conv = x.conv AND kids.d = x.d GROUP BY 1, 2)
+SELECT tree.conv AS conv_id, CAST(tree.d AS BIGINT) AS depth, tree.parent AS parent_conv_id, tree.n_convs, coalesce(kids.n, 0) AS n_children, whole.n_leaves, CAST(whole.saved AS BIGINT) AS saved_tokens, sha256(tree.ends) AS ends_sha256
+FROM tree JOIN whole ON whole.conv = tree.conv AND whole.d = tree.d LEFT JOIN kids ON kids.conv = tree.conv AND kids.d = tree.d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_salvage": OP1_SQL}
+    return {"op1_warc_salvage": OP1_SQL, "op13_prefix_trie_contraction": OP13_SQL}
