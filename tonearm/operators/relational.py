@@ -37,6 +37,14 @@ def page(df: DataFrame, order: list, number: int = 1, per_page: int = 100) -> Da
     return df.orderBy(*order).offset((max(1, number) - 1) * per_page).limit(per_page)
 
 
+def page_with_child_count(parents: DataFrame, order: list[str], number: int, per_page: int, children: DataFrame, key: str, child_key: str, out: str) -> DataFrame:
+    """A page of parents, each with its count of children: the page is taken first, so only its few rows' children are counted."""
+    rows = page(parents, order, number, clamp(per_page, 1, PER_PAGE_MOST)).collect()  # 500 at most
+    first = parents.sparkSession.createDataFrame(rows, parents.schema)
+    theirs = children.join(F.broadcast(first.select(F.col(key).alias(child_key))), child_key, "left_semi")
+    return with_child_count(first, theirs, key, child_key, out).orderBy(*order)
+
+
 def page_after(df: DataFrame, key: str, after, n: int) -> DataFrame:
     """Keyset page: rows beyond ``after``, so no page costs more than the first."""
     return df.where(F.col(key) > after).orderBy(key).limit(n)

@@ -5,10 +5,11 @@ Stand-ins: albums = orders, tracks = lineitem, artists = customer; a track is pr
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tonearm.functions import names, text
-from tonearm.operators import analytic, ordering, relational
+from tonearm.operators import analytic, orderindex, ordering, relational
 from tonearm.plans.registry import query
 
 PRESENT = "l_returnflag <> 'R'"
@@ -21,8 +22,19 @@ def _tracks(t):
 @query("""SELECT o_orderkey, o_orderpriority, coalesce(n, 0) AS track_count FROM orders LEFT JOIN (SELECT l_orderkey, count(*) n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) ON l_orderkey = o_orderkey
 ORDER BY o_orderpriority, o_orderkey LIMIT 100 OFFSET 100""")
 def album_list_page(t):
-    albums = relational.with_child_count(t.orders, _tracks(t), "o_orderkey", "l_orderkey", "track_count")
-    return relational.page(albums.select("o_orderkey", "o_orderpriority", "track_count"), ["o_orderpriority", "o_orderkey"], 2, 100)
+    albums = t.orders.select("o_orderkey", "o_orderpriority")
+    return relational.page_with_child_count(albums, ["o_orderpriority", "o_orderkey"], 2, 100, _tracks(t), "o_orderkey", "l_orderkey", "track_count")
+
+
+@query("""SELECT o_orderkey, o_custkey, r AS place, n AS total FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders) WHERE r >= (n // 100 - 1) * 100 AND r < n // 100 * 100""")
+def late_page_indexed(t):
+    """A page near the end of all orders, dearest first, through a stored order."""
+    index = orderindex.ordered(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), [(F.col("o_totalprice"), False), (F.col("o_orderkey"), True)], 4000)
+    total = index.total()
+    number = total // 100
+    rows = index.page(number, 100).select("o_orderkey", "o_custkey", "o_totalprice")
+    w = Window.orderBy(F.desc("o_totalprice"), "o_orderkey")  # a page of 100 rows
+    return rows.withColumn("place", F.row_number().over(w) - 1 + (number - 1) * 100).withColumn("total", F.lit(total)).drop("o_totalprice")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")

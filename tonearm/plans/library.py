@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tonearm.functions import names, text
-from tonearm.operators import analytic, changes, entities, relational, services
+from tonearm.operators import analytic, changes, entities, orderindex, relational, services
 from tonearm.plans.registry import query
 from tonearm.sources import feeds, playlists
 
@@ -177,7 +177,7 @@ def all_rows_page(t):
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 500 OFFSET 500")
 def clamped_page(t):
-    return relational.page(t.orders, ["o_orderdate", "o_orderkey"], 2, 9999).select("o_orderkey")
+    return orderindex.ordered(t.orders.select("o_orderdate", "o_orderkey"), [(F.col("o_orderdate"), True), (F.col("o_orderkey"), True)]).page(2, 9999).select("o_orderkey")
 
 
 def _imports(t):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tonearm.functions import names, text
-from tonearm.operators import analytic, changelog, changes, entities, fuzzy, sessions, signal
+from tonearm.operators import analytic, bucketed, changelog, changes, entities, fuzzy, sessions, signal
 from tonearm.plans.registry import query
 from tonearm.sources import feeds
 
@@ -99,6 +99,25 @@ def upsert_merge(t):
     return changes.upserted(*_old_new(t), ["o_orderkey"])
 
 
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 500 = 0 THEN 'M' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE (o_orderkey % 5 <> 0 OR o_orderkey % 500 = 0) AND o_orderkey % 1000 <> 1""")
+def merged_in_buckets(t):
+    """A few rows merged into a stored table and a few deleted: only their buckets are written again."""
+    old, _ = _old_new(t)
+    table = bucketed.BucketedTable.created(old, ["o_orderkey"], 64)
+    new = t.orders.where("o_orderkey % 500 = 0").select("o_orderkey", F.lit("M").alias("o_orderstatus"), "o_totalprice")
+    table.merged(new)
+    table.deleted(t.orders.where("o_orderkey % 1000 = 1"))
+    return table.rows()
+
+
+@query("SELECT o_orderkey, lower(o_orderstatus) AS o_orderstatus, round(o_totalprice) AS o_totalprice FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderstatus <> 'P'")
+def table_rebuilt(t):
+    """A stored table rebuilt from a selection of itself, then swapped in."""
+    table = bucketed.BucketedTable.created(_old_new(t)[0], ["o_orderkey"], 8)
+    table.rebuilt(lambda old: old.where("o_orderstatus <> 'P'").withColumn("o_orderstatus", F.lower("o_orderstatus")).withColumn("o_totalprice", F.round("o_totalprice")))
+    return table.rows()
+
+
 @query(OLD_NEW + "SELECT * FROM old UNION ALL SELECT * FROM new WHERE o_orderkey NOT IN (SELECT o_orderkey FROM old)")
 def insert_or_ignore(t):
     return changes.inserted_if_absent(*_old_new(t), ["o_orderkey"])
