@@ -76,18 +76,21 @@ def merged_fields(albums: DataFrame, survivors: DataFrame, columns: list[str], v
 def resolved_album(files: DataFrame, albums: DataFrame, various: str = "Various Artists") -> DataFrame:
     """path, album_id, rule: by album artist, else same folder, else track artist, else the various-artists album; null and "new" if none.
 
-    ``files``: path, folder, title_key, album_artist_key, artist_key; ``albums``: id, title_key, artist_key, folder.
+    ``files``: path, folder, title_key, album_artist_key, artist_key; ``albums``: id, title_key, artist_key, folder.  Each rule has an
+    equi-join on its whole key against the least album of that key, so a title that many albums share makes no pairs.
     """
-    cand = files.join(albums.select(F.col("id").alias("album_id"), "title_key", F.col("artist_key").alias("__a"), F.col("folder").alias("__f")), "title_key")
-    rule = (
-        F.when(F.col("album_artist_key") == F.col("__a"), 1)
-        .when(F.col("album_artist_key").isNull() & (F.col("folder") == F.col("__f")), 2)
-        .when(F.col("album_artist_key").isNull() & (F.col("artist_key") == F.col("__a")), 3)
-        .when(F.col("album_artist_key").isNull() & (F.col("__a") == various.lower()), 4)
-    )
-    best = cand.withColumn("rule", rule).where("rule IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("rule", "album_id"))).where("r = 1")
-    names_ = F.element_at(F.array(*[F.lit(x) for x in ("album_artist", "folder", "artist", "various")]), F.col("rule"))
-    return files.select("path").join(best.select("path", "album_id", names_.alias("rule")), "path", "left").withColumn("rule", F.coalesce("rule", F.lit("new")))
+    least = lambda c, where, out: albums.where(where).groupBy("title_key", F.col(c).alias(f"__{c}")).agg(F.min("id").alias(out))
+    own = F.coalesce("album_artist_key", "artist_key")
+    found = files.withColumn("__artist_key", own).withColumn("__folder", F.col("folder"))
+    found = found.join(least("artist_key", F.col("artist_key").isNotNull(), "__by_artist"), ["title_key", "__artist_key"], "left")
+    found = found.join(least("folder", F.col("folder").isNotNull(), "__by_folder"), ["title_key", "__folder"], "left")
+    mixed = albums.where(F.col("artist_key") == various.lower()).groupBy("title_key").agg(F.min("id").alias("__mixed"))
+    found = found.join(mixed, "title_key", "left")
+    tagged = F.col("album_artist_key").isNotNull()
+    rules = [("album_artist", tagged, "__by_artist"), ("folder", ~tagged, "__by_folder"), ("artist", ~tagged, "__by_artist"), ("various", ~tagged, "__mixed")]
+    album = F.coalesce(*[F.when(when, F.col(c)) for _, when, c in rules])
+    rule = F.coalesce(*[F.when(when & F.col(c).isNotNull(), name) for name, when, c in rules], F.lit("new"))
+    return found.select("path", album.alias("album_id"), rule.alias("rule"))
 
 
 def search(index: textindex.TextIndex, docs: DataFrame, query: str, id_col: str, keep: Column | None = None, most: int | None = 50) -> DataFrame:

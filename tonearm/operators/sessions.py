@@ -40,14 +40,32 @@ class Fold:
         self.finished_at = (self.finished_at if self.finished_at is not None else now) if done else None
 
 
+PLACES = "book_id long, user_id long, offset_ms long, updated_at long, finished_at long, sessions long"
+
+
+def _folded(pdf: pd.DataFrame, gap_ms: int) -> Fold:
+    pdf = pdf.sort_values(["now_ms", "offset_ms"], kind="stable")
+    fold = Fold(int(pdf["duration_ms"].fillna(0).max()), gap_ms)
+    for offset, now in zip(pdf["offset_ms"].tolist(), pdf["now_ms"].tolist()):
+        fold.update(int(offset), int(now))
+    return fold
+
+
+def fold_places(updates: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
+    """The saved place of each (book, user) after all updates, since when it counts as finished, and how many sessions led there."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        fold = _folded(pdf, gap_ms)
+        return pd.DataFrame([(*key, fold.offset, int(pdf["now_ms"].max()), fold.finished_at, fold.seq)], columns=[c.split()[0] for c in PLACES.split(", ")])
+
+    return updates.groupBy("book_id", "user_id").applyInPandas(run, PLACES)
+
+
 def fold_sessions(updates: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     """Sessions of updates (book_id, user_id, offset_ms, now_ms, duration_ms), one fold per (book, user) in order of time."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["now_ms", "offset_ms"], kind="stable")
-        fold = Fold(int(pdf["duration_ms"].fillna(0).max()), gap_ms)
-        for offset, now in zip(pdf["offset_ms"].tolist(), pdf["now_ms"].tolist()):
-            fold.update(int(offset), int(now))
+        fold = _folded(pdf, gap_ms)
         rows = [(*key, *c, False) for c in fold.closed]
         if fold.session:
             rows.append((*key, fold.seq - 1, *fold.session, True))

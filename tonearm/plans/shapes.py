@@ -39,6 +39,34 @@ def sessions_by_fold(t):
     return sessions.fold_sessions(moves, 6 * 3_600_000).select("user_id", "seq", "started_at", "ended_at")
 
 
+_PLACES = """WITH RECURSIVE e AS (SELECT event_id % 2 AS b, user_id AS u, epoch_us(ts) // 1000 AS t, CASE WHEN event_id % 7 = 0 THEN 0 ELSE least(greatest(CAST(floor(value) AS BIGINT) * 10 - 50, 0), 600 * (event_id % 2) + 400) END AS o, 600 * (event_id % 2) + 400 AS d FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY b, u ORDER BY t, o) AS r FROM e),
+f AS (SELECT b, u, r, t, o, CAST(1 AS BIGINT) AS seq, t AS st, t AS en, o AS so, o AS eo, CASE WHEN o >= 0.97 * d THEN t END AS fin FROM n WHERE r = 1
+UNION ALL SELECT b, u, r, t, o, seq + CASE WHEN NOT cont AND moved THEN 1 ELSE 0 END, CASE WHEN NOT cont AND moved THEN t ELSE st END, CASE WHEN cont OR moved THEN t ELSE en END, CASE WHEN NOT cont AND moved THEN po ELSE so END, CASE WHEN cont OR moved THEN o ELSE eo END,
+CASE WHEN o >= 0.97 * d THEN coalesce(fin, t) END FROM (SELECT n.b, n.u, n.r, n.t, n.o, n.d, f.o AS po, f.seq, f.st, f.en, f.so, f.eo, f.fin, n.t - f.en <= 21600000 AND n.t // 86400000 = f.en // 86400000 AS cont, n.o <> f.o AS moved FROM f JOIN n ON n.b = f.b AND n.u = f.u AND n.r = f.r + 1)) """
+
+
+def _listening(t):
+    """Updates of two books of 400 and 1,000 ms, some beyond their end, some back at the start."""
+    e = F.col("event_id")
+    offset = F.when(e % 7 == 0, 0).otherwise(F.floor("value") * 10 - 50)
+    length = 600 * (e % 2) + 400
+    clamped = F.least(F.greatest(offset, F.lit(0)), length)  # only to order updates of one millisecond as the SQL does
+    return t.events.select((e % 2).alias("book_id"), "user_id", F.when(offset == clamped, offset).when(offset < 0, F.lit(-5)).otherwise(length + 5).alias("offset_ms"), F.unix_millis("ts").alias("now_ms"), length.alias("duration_ms"))
+
+
+@query(_PLACES + "SELECT b AS book_id, u AS user_id, seq - 1 AS seq, max_by(st, r) AS started_at, max_by(en, r) AS ended_at, max_by(so, r) AS start_offset_ms, max_by(eo, r) AS end_offset_ms FROM f GROUP BY 1, 2, 3")
+def sessions_with_durations(t):
+    """Listening sessions with clamped places: each opens at the place saved before it."""
+    return sessions.fold_sessions(_listening(t), 6 * 3_600_000).drop("open")
+
+
+@query(_PLACES + "SELECT b AS book_id, u AS user_id, max_by(o, r) AS offset_ms, max(t) AS updated_at, arg_max_null(fin, r) AS finished_at, max(seq) AS sessions FROM f GROUP BY 1, 2")
+def places_by_fold(t):
+    """Saved places, finished at 97 % and unfinished by going back."""
+    return sessions.fold_places(_listening(t), 6 * 3_600_000)
+
+
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS position FROM conversations")
 def playlist_dense_positions(t):
     return analytic.dense_positions(t.conversations.select("conv_id", "turn"), "conv_id", [F.desc("turn")]).withColumn("position", F.col("position").cast("long"))
