@@ -309,23 +309,48 @@ def split_artists(t):
     return t.customer.select("c_custkey", names.split_artists(tag).alias("artists"))
 
 
-ALIASES, KEYWORDS = [("smallplated", "Plated"), ("economyanodized", "Economy")], [("brass", "Brass"), ("steel", "Steel"), ("large", "Large")]
+ALIASES, KEYWORDS = [("smallplate", "Plated"), ("economy", "Economy")], [("ring", "Ring"), ("hotrod", "Hot Rod"), ("large", "Large"), ("rod", "Rod")]
+
+
+def _raw_genres(t):
+    """A raw genre tag for each part: lists, brackets, addresses, numbers."""
+    n, y, k = F.col("p_name"), F.col("p_type"), F.col("p_partkey")
+    forms = [n, F.concat(n, F.lit(" / "), y), F.concat(F.lit("http://x/"), n), F.concat(F.lit("Genre "), k % 50), F.concat(y, F.lit("; "), n, F.lit(" (live [x] y)")), F.concat(F.replace(n, F.lit(" "), F.lit("_")), F.lit(" - "), n)]
+    return t.part.select(k.alias("id"), F.element_at(F.array(*forms), (k % 6 + 1).cast("int")).alias("raw"))
 
 
 def _genres(t):
-    raws = t.part.select(F.col("p_type").alias("raw")).distinct()
-    return entities.genre_map(raws, t.spark.createDataFrame(ALIASES, "key string, genre string"), t.spark.createDataFrame(KEYWORDS, "word string, genre string"))
+    return entities.genre_map(_raw_genres(t), t.spark.createDataFrame(ALIASES, "key string, genre string"), t.spark.createDataFrame(KEYWORDS, "word string, genre string"))
 
 
-@query()
+_GENRES = """WITH p AS (SELECT p_partkey % 6 AS m, p_name AS n, p_type AS y, p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' / ' || p_type WHEN 2 THEN 'http://x/' || p_name WHEN 3 THEN 'Genre ' || p_partkey % 50 WHEN 4 THEN p_type || '; ' || p_name || ' (live [x] y)' ELSE replace(p_name, ' ', '_') || ' - ' || p_name END AS raw FROM part),
+v AS (SELECT DISTINCT raw, 0 AS i, CASE WHEN m = 4 THEN y ELSE n END AS clean FROM p WHERE m NOT IN (2, 3) UNION SELECT DISTINCT raw, 1, CASE WHEN m = 1 THEN y ELSE n END FROM p WHERE m IN (1, 4, 5)),
+a AS (SELECT raw, i, 0 AS j, CASE lower(replace(clean, ' ', '')) WHEN 'smallplate' THEN 'Plated' ELSE 'Economy' END AS genre, 'alias' AS how FROM v WHERE lower(replace(clean, ' ', '')) IN ('smallplate', 'economy')),
+rest AS (SELECT * FROM v ANTI JOIN a USING (raw, i)), w AS (SELECT raw, i, string_split(lower(clean), ' ') AS s FROM rest), l AS (SELECT raw, i, s || CASE WHEN len(s) = 2 THEN [s[1] || s[2]] ELSE [] END AS s FROM w),
+k AS (SELECT raw, i, j - 1 AS j, CASE s[j] WHEN 'ring' THEN 'Ring' WHEN 'hotrod' THEN 'Hot Rod' WHEN 'rod' THEN 'Rod' ELSE 'Large' END AS genre, 'keyword' AS how FROM (SELECT raw, i, s, unnest(range(1, len(s) + 1)) AS j FROM l) WHERE s[j] IN ('ring', 'hotrod', 'rod', 'large')),
+u AS (SELECT raw, i, 0 AS j, CASE WHEN clean = upper(clean) THEN clean ELSE upper(clean[1]) || split_part(clean, ' ', 1)[2:] || ' ' || upper(split_part(clean, ' ', 2)[1]) || split_part(clean, ' ', 2)[2:] END AS genre, 'unmapped' AS how FROM rest ANTI JOIN k USING (raw, i)),
+every AS (SELECT * FROM a UNION ALL SELECT * FROM k UNION ALL SELECT * FROM u), g AS (SELECT raw, genre, arg_min(how, i * 100 + j) AS how, min(i * 100 + j) AS place FROM every GROUP BY 1, 2) """
+
+
+@query(_GENRES + "SELECT raw, genre, how FROM g")
 def genre_map(t):
     return _genres(t).select("raw", "genre", "how")
 
 
-@query()
+@query(_GENRES + "SELECT p.id, g.genre FROM p JOIN g USING (raw) WHERE p.id % 10 > 0 GROUP BY 1, 2")
+def track_genre_links(t):
+    """Links of present tracks to their genres."""
+    tracks = _raw_genres(t).withColumn("missing", F.col("id") % 10 == 0).withColumn("duplicate_of", F.lit(None).cast("long"))
+    return entities.track_genres(tracks, _genres(t))
+
+
+@query(_GENRES + ", n AS (SELECT raw, list(genre ORDER BY place) AS genres, max(how) AS how FROM g GROUP BY 1), c AS (SELECT raw, count(*) AS n FROM p GROUP BY 1), r AS (SELECT raw, c.n AS count, coalesce(genres, []) AS genres, coalesce(how, 'ignored') AS how FROM c LEFT JOIN n USING (raw)) "
+"SELECT * FROM (SELECT * FROM r WHERE how = 'unmapped' ORDER BY count DESC, raw LIMIT 200) UNION ALL SELECT * FROM (SELECT * FROM r WHERE how = 'keyword' ORDER BY count DESC, raw LIMIT 200) UNION ALL SELECT * FROM (SELECT * FROM r WHERE how = 'ignored' ORDER BY count DESC, raw LIMIT 200)")
 def raw_genre_report(t):
-    tracks = t.part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("raw"), F.lit(False).alias("missing"), F.lit(None).cast("long").alias("duplicate_of"))
-    return entities.genre_report(tracks, _genres(t), "unmapped")
+    """The most frequent raw tags by how they were mapped."""
+    tracks = _raw_genres(t).withColumn("missing", F.lit(False)).withColumn("duplicate_of", F.lit(None).cast("long"))
+    parts = [entities.genre_report(tracks, _genres(t), how).withColumn("how", F.lit(how)) for how in ("unmapped", "keyword", "ignored")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("SELECT event_id, nullif(CASE WHEN event_id % 4 = 0 THEN CAST((event_id % 3600) * 1000 AS BIGINT) WHEN event_id % 4 = 1 THEN CAST((event_id % 100 * 60 + event_id % 60) * 1000 AS BIGINT) WHEN event_id % 4 = 2 THEN CAST((event_id % 10 * 3600 + event_id % 60 * 60 + 30) * 1000 AS BIGINT) END, 0) AS ms FROM events")
@@ -358,11 +383,6 @@ def page_links(t):
     return t.pages.select("page_id", F.explode(tags)).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-@query()
-def feed_links(t):
-    return feeds.feed_links(t.pages, "page_id", "html")
-
-
 @query("SELECT doc_id, CASE WHEN h > 0 THEN h || ':' || lpad(m::VARCHAR, 2, '0') ELSE m::VARCHAR END || ':' || lpad(s::VARCHAR, 2, '0') AS clock FROM (SELECT doc_id, n_chars * 100 // 3600000 h, n_chars * 100 // 60000 % 60 m, n_chars * 100 // 1000 % 60 s FROM documents)")
 def clock_label(t):
     return t.documents.select("doc_id", text.clock(F.col("n_chars") * 100).alias("clock"))
