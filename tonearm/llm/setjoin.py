@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bpe import mixed
+from ._bpe import mixed, release
 from ._components import components
 from ._shingles import shingles
 from ._store import written
@@ -82,7 +82,7 @@ def counted(tokens: np.ndarray) -> list[dict]:
     return out
 
 
-def summarised(docs: DataFrame, chunk: int = 4_000_000) -> DataFrame:
+def summarised(docs: DataFrame, chunk: int = 2_000_000) -> DataFrame:
     """kind 0: doc_id, n (set size) and sid (set hash); kind 1: n (part of the cells) and what ``counted`` gives of a task's sets."""
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary())])
 
@@ -103,6 +103,8 @@ def summarised(docs: DataFrame, chunk: int = 4_000_000) -> DataFrame:
                 held, size, seen = [], 0, set()
         if held:
             yield pa.RecordBatch.from_pylist(counted(np.concatenate(held)), schema=schema)
+        held.clear()
+        release()
 
     return _texts(docs).mapInArrow(run, "kind int, doc_id long, n int, sid long, tokens binary, counts binary")
 
@@ -197,6 +199,8 @@ def postings(docs: DataFrame, table: np.ndarray, buckets: int, flush: int = 1_50
                 pre, sids, sizes, total = [], [], [], 0
         if pre:
             yield packed_postings(pre, sids, sizes, buckets)
+        pre.clear()
+        release()
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, POSTINGS)
 
