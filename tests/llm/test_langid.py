@@ -73,3 +73,29 @@ def test_prediction_ignores_labels(spark):
     b = predicted(docs.withColumn("lang", docs.lang.substr(1, 0)), model).drop("doc_id")
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert isinstance(model, OutputCodes)
+
+
+def test_decoding_as_a_plain_loop():
+    """Loss of every codeword bit by bit, weighted by trust; the least loss wins, and scores are its share."""
+    import math
+
+    rng = np.random.default_rng(8)
+    languages = ["a", "b", "c", "d", "e", "f"]
+    code = codewords(6)
+    m = OutputCodes(languages, code, rng.normal(size=(30, code.shape[1])), rng.normal(size=code.shape[1]), rng.random(code.shape[1]))
+    x = rng.normal(size=(40, 30))
+    best, score, gap = m.decode(x)
+    for i in range(40):
+        margins = [sum(x[i, k] * m.weights[k, b] for k in range(30)) + m.bias[b] for b in range(code.shape[1])]
+        losses = [sum(m.trust[b] * math.log1p(math.exp(-m.sharp * max(-2, min(2, margins[b])) * int(word[b]))) for b in range(len(word))) for word in code]
+        like = [math.exp(-m.sharp * (v - min(losses))) for v in losses]
+        like = [v / sum(like) for v in like]
+        assert best[i] == losses.index(min(losses)) and abs(score[i] - max(like)) < 1e-9 and abs(gap[i] - (sorted(like)[-1] - sorted(like)[-2])) < 1e-9
+
+
+def test_a_very_long_text(spark):
+    docs, _ = _docs(spark, ["aa", "bb"])
+    model = fit(docs)
+    rng = random.Random(4)
+    long = spark.createDataFrame([(1, _text(rng, "aa", 150_000)), (2, _text(rng, "bb", 150_000) + " x" * 10)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in predicted(long, model).collect()} == {1: "aa", 2: "bb"}

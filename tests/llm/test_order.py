@@ -32,6 +32,14 @@ def test_large_keys_one_key_and_none(spark):
     assert len(cut) == 1 and got == [(None, 0)]
 
 
+def test_keys_that_share_a_double(spark):
+    for keys in ([(1 << 60) + i for i in range(100)], [-(1 << 63), (1 << 63) - 1, *((1 << 62) + 2048 * i for i in range(100))], [(1 << 62) + i // 2 for i in range(300)]):
+        cut, got = _numbered(spark, keys, 10)
+        assert len(cut) > 5 and {b for _, b in got} == set(range(len(cut)))
+        order = [b for _, b in sorted(got)]
+        assert order == sorted(order) and max(order.count(b) for b in set(order)) <= 40
+
+
 def test_many_null_keys_are_spread(spark):
     cut, got = _numbered(spark, [None] * 400 + list(range(100)), 50)
     assert cut.nulls == 8 and len(cut) == 8 + len(cut.firsts)

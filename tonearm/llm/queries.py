@@ -21,7 +21,8 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     read = read_archives(write_pages(_table(spark, sf_dir, "pages")), with_payload=False)
     number = "try_cast(nullif(regexp_extract({}, '^urn:page:(-?[0-9]+)$', 1), '') AS long)"
-    return read.where("kind = 'record'").select(
+    whole = F.expr("CASE WHEN kind = 'gap' THEN CAST(raise_error('a gap in archives that were just written') AS boolean) ELSE kind = 'record' END")
+    return read.where(whole).select(
         F.expr(number.format("record_id")).alias("page_id"),
         "payload_bytes",
         "payload_digest",

@@ -38,6 +38,7 @@ ROWS = (
     "refers_to string, target_uri string, headers map<string,string>, payload_bytes long, payload_digest string, payload binary"
 )
 BROADCAST_ROWS = 100_000
+SALTS = 32
 CUT_OFF = "member is cut off"
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."  # where a member and a record start
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
@@ -76,7 +77,8 @@ def write_pages(pages: DataFrame, gzip_level: int = 4, file_bytes: int = 32 << 2
     """Writes one record per page and returns the manifest of archives.
 
     The largest page_id of each payload is its response.  Only payloads that occur more than once are
-    looked up, by digest: broadcast up to ``BROADCAST_ROWS`` of them, joined by a shuffle beyond.
+    looked up, by digest: broadcast up to ``BROADCAST_ROWS`` of them; beyond, joined by a shuffle in which every digest
+    has ``SALTS`` places, so that a payload of a third of all pages (the empty one) is many tasks' work.
     """
     spark = pages.sparkSession
     folder = shared_dir(spark, "warc")
@@ -85,7 +87,12 @@ def write_pages(pages: DataFrame, gzip_level: int = 4, file_bytes: int = 32 << 2
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload.cast("binary")).alias("sha"))
     shared = written(keyed.groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper")).where("n > 1 AND keeper IS NOT NULL").drop("n"), "warc-shared")
     few = shared.count() <= BROADCAST_ROWS
-    marked = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(F.broadcast(shared) if few else shared, "sha", "left")
+    marked = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    if few:
+        marked = marked.join(F.broadcast(shared), "sha", "left")
+    else:
+        spread = shared.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        marked = marked.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(spread, ["sha", "salt"], "left")
 
     def write(batches_in):
         held, records, size = [], 0, 0
