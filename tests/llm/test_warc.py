@@ -64,7 +64,7 @@ def test_salvage_of_junk():
 def test_many_repeated_payloads_are_joined_by_a_shuffle(spark, monkeypatch):
     from tonearm.llm import warc
 
-    rows = [(i, f"http://x/{i}", "" if i % 3 == 0 else None if i % 7 == 0 else f"<p>{i % 40}</p>", 1, "k") for i in range(300)]
+    rows = [(i, f"http://x/{i}", "" if i % 3 == 0 else None if i % 7 == 0 else f"<p>{i % 40}</p>", "k", 1) for i in range(300)]
     want = sorted((r.record_id, r.record_type, r.refers_to or "", r.payload_digest) for r in read_archives(write_pages(_pages(spark, rows))).collect())
     monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
     got = sorted((r.record_id, r.record_type, r.refers_to or "", r.payload_digest) for r in read_archives(write_pages(_pages(spark, rows))).collect())
