@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tonearm.functions import names
 
 from . import fuzzy, textindex
+from .changes import really_changed
 from .ordering import cut, numbered
 
 
@@ -182,6 +183,30 @@ def playlist_import(entries: DataFrame, roots: list[str], tracks: DataFrame) ->
     return numbered(matched, ["pos"], "position").select("position", "track_id"), found.where("track_id IS NULL").select("pos", "raw")
 
 
+def created_playlist(playlists: DataFrame, entries: DataFrame, name: str, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Playlists (id, name) and entries (playlist_id, position, track_id) with a new one of the given items (ord, track_id)."""
+    new = (playlists.agg(F.max("id")).first()[0] or 0) + 1
+    spark = playlists.sparkSession
+    own = numbered(items.select("ord", "track_id"), ["ord", "track_id"], "position").select(F.lit(new).cast("long").alias("playlist_id"), "position", "track_id")
+    return playlists.unionByName(spark.createDataFrame([(new, name)], "id long, name string")), entries.unionByName(own)
+
+
+def renamed_playlist(playlists: DataFrame, playlist: int, name: str) -> DataFrame:
+    """The name without white space around it; an empty one, or a playlist that isn't there, is an error."""
+    name = name.strip()
+    if not name:
+        raise ValueError("playlist name must not be empty")
+    if playlists.where(F.col("id") == playlist).isEmpty():
+        raise KeyError(f"playlist {playlist}")
+    return playlists.withColumn("name", F.when(F.col("id") == playlist, name).otherwise(F.col("name")))
+
+
+def refreshed_keys(albums: DataFrame) -> DataFrame:
+    """id, title_key and artist_key of albums whose stored keys aren't those of their names; all others need no write."""
+    now = albums.select("id", names.group_key(F.col("title")).alias("title_key"), names.group_key(F.col("artist")).alias("artist_key"))
+    return really_changed(albums.select("id", "title_key", "artist_key"), now, "id", ["title_key", "artist_key"])
+
+
 def appended(playlist: DataFrame, items: DataFrame) -> DataFrame:
     """Playlist rows (playlist_id, position, track_id) with items (playlist_id, ord, track_id) after them, positions dense from 0."""
     both = playlist.select("playlist_id", F.lit(0).alias("s"), F.col("position").alias("o"), "track_id").unionByName(items.select("playlist_id", F.lit(1).alias("s"), F.col("ord").alias("o"), "track_id"))

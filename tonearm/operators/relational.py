@@ -139,7 +139,12 @@ def shuffled(df: DataFrame, seed: int, key: str, current=None) -> DataFrame:
     from .ordering import numbered
 
     playing = F.lit(1) if current is None else F.when(F.col(key) == current, 0).otherwise(1)
-    return numbered(df.withColumn("__c", playing).withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))), ["__c", "__h", key], "position").drop("__c", "__h")
+    return numbered(df.withColumn("__c", playing).withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))), ["__c", "__h", key], "position").drop("__c", "__h")
+
+
+def picked_at_random(df: DataFrame, seed: int, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows of the seeded permutation: each task keeps that many at most."""
+    return df.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).orderBy("__h", key).limit(n).drop("__h")
 
 
 def optional(value, condition: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tonearm.functions import names, text
 
 from . import analytic, changes
+from .ordering import numbered
 
 
 def stored_feed(episodes: DataFrame, feed_items: DataFrame) -> DataFrame:
@@ -75,8 +76,9 @@ def patched_bookmarks(marks: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def listeners(rows: DataFrame) -> DataFrame:
-    """The default listener first, then by name without regard to ASCII case."""
-    return rows.orderBy(~F.col("is_default"), names.ascii_lower(F.col("name")), "id")
+    """Listeners with their ``place`` from 1: the default one first, then by name without regard to ASCII case."""
+    keyed = rows.withColumn("__d", ~F.col("is_default")).withColumn("__n", names.ascii_lower(F.col("name")))
+    return numbered(keyed, ["__d", "__n", "id"], "place", 1).drop("__d", "__n")
 
 
 def pending_again(albums: DataFrame) -> DataFrame:
@@ -112,6 +114,12 @@ def sorted_like_a_client(df: DataFrame, key: str, tie: str) -> DataFrame:
     return df.orderBy(F.collate(names.natural_key(F.col(key)), "UNICODE_CI_AI"), tie)
 
 
+def places_for_a_client(df: DataFrame, keys: list[str], tie: str, out: str = "place") -> DataFrame:
+    """The place (from 1) of every row in a person's view, by several columns one after the other, without one task that sorts all."""
+    sorts = {f"__s{i}": F.collate(names.natural_key(F.col(k)), "UNICODE_CI_AI") for i, k in enumerate(keys)}
+    return numbered(df.withColumns(sorts), [*sorts, tie], out, 1).drop(*sorts)
+
+
 def scanned(tracks: DataFrame, files: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tracks after a scan, counts per action). ``tracks``: path, size, mtime, title, album_id, hash, missing; ``files``: path, size, mtime; ``tags``: path, title, album_id, hash of files that were opened.
 

@@ -467,12 +467,52 @@ def listeners_created(t):
 
 @query("SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey <> 7, lower(c_mktsegment), c_custkey) AS place FROM customer")
 def listener_list(t):
-    from tonearm.operators.ordering import numbered
-
     mixed = F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
     rows = t.customer.select(F.col("c_custkey").alias("id"), mixed.alias("name"), (F.col("c_custkey") == 7).alias("is_default"))
-    assert services.listeners(rows).columns == rows.columns
-    return numbered(rows.withColumn("k", relational.no_case(F.col("name"))).withColumn("d", ~F.col("is_default")), ["d", "k", "id"], "place", 1).select("id", "place")
+    return services.listeners(rows).select("id", "place")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey <> 7, md5('42:' || p_partkey), p_partkey) - 1 AS position FROM part")
+def queue_shuffled(t):
+    """A seeded shuffle of all parts that keeps the one that is playing first."""
+    return relational.shuffled(t.part.select("p_partkey"), 42, "p_partkey", 7)
+
+
+@query("SELECT p_partkey FROM part ORDER BY md5('5:' || p_partkey), p_partkey LIMIT 25")
+def random_pick(t):
+    return relational.picked_at_random(t.part, 5, "p_partkey", 25).select("p_partkey")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY lower(c_mktsegment), c_custkey % 120, c_custkey) AS place FROM customer")
+def client_places(t):
+    """Every customer's place by name, whatever its case and accents, then by the number in a second name."""
+    k = F.col("c_custkey")
+    first = F.when(k % 3 == 0, F.lower("c_mktsegment")).when(k % 3 == 1, F.translate("c_mktsegment", "AEIOU", "ÄÉÎÕÜ")).otherwise(F.col("c_mktsegment"))
+    rows = t.customer.select("c_custkey", first.alias("name"), F.concat(F.lit("Disc "), F.when(k % 2 == 0, "0").otherwise(""), k % 120).alias("disc"))
+    return services.places_for_a_client(rows, ["name", "disc"], "c_custkey").select("c_custkey", "place")
+
+
+@query("""WITH l AS (SELECT c_custkey AS id, CASE WHEN c_custkey = 5 THEN 'Mix' ELSE c_name END AS name FROM customer UNION ALL SELECT max(c_custkey) + 1, ' New ' FROM customer),
+e AS (SELECT o_custkey AS id, count(*) AS n, CAST(max(o_orderkey) AS BIGINT) AS last FROM orders GROUP BY 1 UNION ALL SELECT (SELECT max(c_custkey) + 1 FROM customer), count(*), max_by(p_partkey, (p_size, p_partkey)) FROM part WHERE p_size < 9)
+SELECT l.id, l.name, coalesce(e.n, 0) AS n, e.last FROM l LEFT JOIN e USING (id)""")
+def playlists_created_and_renamed(t):
+    """Playlists of customers' orders after one has been added and one renamed: their names, lengths and last tracks."""
+    lists = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    entries = analytic.dense_positions(t.orders.select(F.col("o_custkey").alias("playlist_id"), F.col("o_orderkey").alias("track_id")), "playlist_id", ["track_id"])
+    items = t.part.where("p_size < 9").select(F.col("p_size").alias("ord"), F.col("p_partkey").alias("track_id"))
+    lists, entries = entities.created_playlist(lists, entries.select("playlist_id", F.col("position").cast("long").alias("position"), "track_id"), " New ", items)
+    shown = entries.groupBy(F.col("playlist_id").alias("id")).agg(F.count("*").alias("n"), F.max_by("track_id", "position").alias("last"))
+    return entities.renamed_playlist(lists, 5, "  Mix\n").join(shown, "id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+@query("SELECT p_partkey AS id, p_name AS title_key, CASE WHEN p_partkey % 5 > 0 THEN lower(p_brand) END AS artist_key FROM part WHERE p_partkey % 3 = 0 OR (p_partkey % 7 = 0 AND p_partkey % 5 > 0)")
+def keys_refreshed(t):
+    """Albums whose stored keys are stale: a title key of another form, or an artist key that is missing."""
+    k = F.col("p_partkey")
+    artist = F.when(k % 5 > 0, F.concat(F.lit(" "), F.upper("p_brand")))
+    stored = F.when((k % 5 > 0) & (k % 7 > 0), F.lower("p_brand"))
+    albums = t.part.select(k.alias("id"), F.concat(F.initcap("p_name"), F.lit("  ")).alias("title"), artist.alias("artist"), F.when(k % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("title_key"), stored.alias("artist_key"))
+    return entities.refreshed_keys(albums)
 
 
 @query("SELECT user_id, event_type AS name, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2 UNION ALL SELECT c_custkey, 'theme', 1.0 FROM customer")
