@@ -110,3 +110,14 @@ def test_packing():
     for x, size in (([-128, 127], 1), ([128], 2), ([40_000], 4), ([1 << 40], 8)):
         raw = packed(np.array(x))
         assert raw[0] == size and len(raw) == 1 + size * len(x)
+
+
+def test_products_with_rounding_errors():
+    """Sums over very many rows are less exact than one sum; the method stops at what they allow."""
+    rng = np.random.default_rng(9)
+    c = rng.normal(size=(3000, 120))
+    v, calls = c.T @ c / len(c), []
+    rough = lambda u: (calls.append(1), v @ u * (1 + 1e-13 * np.random.default_rng(len(calls)).normal(size=u.shape)))[1]
+    values, axes = leading(rough, 120, 16)
+    assert np.abs(values - np.linalg.eigvalsh(v)[::-1][:16]).max() < 1e-11 and len(calls) < 400
+    assert np.linalg.norm(v @ axes - axes * values, axis=0).max() < 1e-10

@@ -8,7 +8,8 @@
 3. Rayleigh-Ritz on a subspace gives approximate pairs.  Those not yet converged get a correction each: the equation
    (I - QQ')(V - theta I)(I - QQ') t = -r, where Q holds the locked vectors and the current ones, is solved by inner MINRES
    steps, all of a block in one job a step.  Corrections extend the subspace, which restarts from its best vectors when it is full.  Leading
-   pairs whose residual has reached double precision are locked.
+   pairs whose residual has reached double precision are locked (over very many rows the products themselves are a little coarser; a
+   residual that stops falling near there is taken).
 4. Rows are projected on the components, which are fixed on the driver once: the same for all rows.
 
 Rows whose vector is null, empty, or holds null or non-finite entries are dropped, and so are those whose vector hasn't the commonest
@@ -34,6 +35,7 @@ SHIFT, SCALE, TOP = 1_000_000, 64.0, 2.0**62
 SPACE = 96  # vectors in the search space at most, if 16 components are wanted (six times as many as wanted)
 INNER, OUTER = 6, 60  # MINRES steps of one correction; rounds before an error is raised
 PRECISION = 128 * np.finfo(np.float64).eps  # residual over the greatest eigenvalue
+ROUGH, STUCK = 1e-11, 3  # below ROUGH, a residual that hasn't halved in so many rounds is as good as the sums over this many rows are
 DIRECT = 64  # sums that the driver adds itself
 
 
@@ -227,6 +229,7 @@ def leading(product, d: int, wanted: int, seed: int = 1) -> tuple[np.ndarray, np
     locked, values = np.zeros((d, 0)), []
     space = _joined(locked, np.random.default_rng(seed).normal(size=(d, min(d, wanted + 8))))
     image = product(space)
+    lead, stuck = np.inf, 0
     for _ in range(OUTER):
         theta, turn = np.linalg.eigh((space.T @ image + image.T @ space) / 2)
         theta, turn = theta[::-1], turn[:, ::-1]
@@ -236,10 +239,13 @@ def leading(product, d: int, wanted: int, seed: int = 1) -> tuple[np.ndarray, np
         if locked.shape[1]:
             rest = _outside(locked, rest)
         size = np.linalg.norm(rest, axis=0)
-        done = 0
-        while len(values) + done < wanted and done < len(theta) and size[done] <= PRECISION * top:
+        done, stuck = 0, stuck + 1 if size[0] > lead / 2 else 0
+        lead = min(lead, size[0])
+        enough = max(PRECISION * top, min(8 * size[0], ROUGH * top) if stuck >= STUCK else 0.0)
+        while len(values) + done < wanted and done < len(theta) and size[done] <= enough:
             done += 1
         if done:
+            lead, stuck = np.inf, 0
             locked = np.hstack([locked, space[:, :done]])
             values += theta[:done].tolist()
             space, image, theta, rest = space[:, done:], image[:, done:], theta[done:], rest[:, done:]
