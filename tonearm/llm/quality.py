@@ -8,7 +8,8 @@ Statistics of all labelled rows are summed in one aggregation; nothing is sample
 Null or other labels than 0 and 1 teach nothing; a document with several labels counts once for each.
 Where one class has no rows every score is the share of label 1 (0.5 without labels).  Rows with a
 null doc_id are scored and never learnt from.  Rows that repeat are scored each, and each counts where its doc_id
-is labelled.  Texts of any length are taken whole.  An empty table gives no rows.  Columns other than doc_id and text
+is labelled.  Ties: a score of exactly the threshold is accepted, and equal texts
+have equal scores.  Texts of any length are taken whole.  An empty table gives no rows.  Columns other than doc_id and text
 are ignored (``accepted`` keeps them).
 """
 

@@ -5,7 +5,8 @@ base64.  Equal sets of shingles have equal fingerprints, and the fingerprint of
 the fingerprints alone.  Fewer than k values mean the whole set is there and estimates are exact.
 
 Null text: empty.  A text without words has the empty fingerprint; two empty ones are alike (1.0), an
-empty and another not at all (0.0).  Rows with equal doc_id follow each other in order of their texts.
+empty and another not at all (0.0).  Ties: equal shingles count once;
+rows with equal doc_id follow each other in order of their texts.
 A row with a null doc_id has no place in the order: no text follows it, and near_next is 0.  Texts of any
 length are taken whole.  An empty table gives no rows.  Columns other than doc_id and text are ignored.
 """

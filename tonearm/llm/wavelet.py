@@ -9,6 +9,7 @@ blocks they touch.  A table of doc_id and length per document closes the file.
 Layout: magic ``TWM1``, u32 header length, JSON header, then the parts the header points to.
 Null text: no ids but the end id.  Repeated rows are kept; equal doc_ids keep any order.  An empty
 table writes no file.  Other columns are ignored, whatever their names.
+Texts of any length are taken whole; one that exceeds a file's tokens makes a longer file.
 """
 
 from __future__ import annotations
