@@ -96,3 +96,11 @@ def test_files(spark):
     assert one(spark, ["0e8f2a1c-1111-2222-3333-444455556666", "x"], text.is_uuid) == [True, False]
     ladder = spark.createDataFrame([("mp3", "passthrough"), ("dsf", "passthrough"), ("mp3", "opus"), ("dff", None), ("flac", None)], "s string, p string")
     assert [r.o for r in ladder.select(text.transcode_target(F.col("s"), F.col("p")).alias("o")).collect()] == ["passthrough", "flac", "opus", "flac", "passthrough"]
+
+
+def test_folder_details_are_computed_once(spark):
+    parts = spark.createDataFrame([(["A", "S", "Vol 1.5 - 1999 - T {N}"],)], "parts array<string>")
+    df = parts.select(names.parse_folder(F.col("parts")).alias("b")).select("b.*")
+    assert [tuple(r) for r in df.collect()] == [("N", 1.5, 1999, "T", "A", "S")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?:volume|vol") <= 6 and plan.count("([12][0-9]{3})") <= 4  # each nesting level would repeat the ones below it

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEAT = r"(?:featuring|feat\.|feat|ft\.|ft) "
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only: the order and equality of a case-insensitive ASCII collation."""
     return F.translate(c, UPPER, LOWER)
@@ -96,7 +103,7 @@ def book_dir(path: Column) -> Column:
 
 def tidy(c: Column) -> Column:
     """Trimmed of white space and of dashes and underscores at the ends; null if nothing is left."""
-    return blank_to_null(F.regexp_replace(F.trim(c), "^[-_]+|[-_]+$", ""))
+    return bound(F.regexp_replace(F.trim(c), "^[-_]+|[-_]+$", ""), blank_to_null)
 
 
 def merge_field(tag: Column, folder: Column) -> Column:
@@ -109,34 +116,49 @@ def parse_folder(parts: Column) -> Column:
     ``Author/Series/Vol 1 - 1999 - Title {Narrator}`` and its shorter forms; null for no folders.
     """
     n = F.size(parts)
-    last = F.trim(F.element_at(parts, -1))
     narrated = r"(?s)^(.*)\{([^{]*)\}\s*$"
-    has = last.rlike(narrated)
-    name = F.when(has, F.rtrim(F.regexp_extract(last, narrated, 1))).otherwise(last)
     volume = r"(?is)^(?:(?:volume|vol\.|vol|book|#)\s*([0-9][0-9.]*|\.[0-9][0-9.]*)\s*-?|([0-9][0-9.]*)\s*-)\s*(.*)$"
     year = r"(?s)^([12][0-9]{3})\s*-\s*(.*)$"
 
-    def number(s):
+    def numbered(s):
         both = F.concat(F.regexp_extract(s, volume, 1), F.regexp_extract(s, volume, 2))
-        return F.rtrim(both, F.lit(".")).try_cast("double")
-
-    first = F.when(number(name).isNotNull() & ~name.rlike(year), number(name))
-    after = F.when(first.isNotNull(), F.regexp_extract(name, volume, 3)).otherwise(name)
-    dated = after.rlike(year)
-    then = F.when(dated, F.regexp_extract(after, year, 2)).otherwise(after)
-    second = F.when(first.isNull() & dated, number(then))
-    rest = F.when(second.isNotNull(), F.regexp_extract(then, volume, 3)).otherwise(then)
-    return F.when(
-        n > 0,
-        F.struct(
-            F.when(has, tidy(F.regexp_extract(last, narrated, 2))).alias("narrator"),
-            F.coalesce(first, second).alias("series_index"),
-            F.when(dated, F.regexp_extract(after, year, 1).cast("int")).alias("year"),
-            F.coalesce(tidy(rest), tidy(name)).alias("title"),
+        return F.struct(F.rtrim(both, F.lit(".")).try_cast("double").alias("number"), F.regexp_extract(s, volume, 3).alias("rest"))
+
+    def in_front(s, name):  # a volume before the year
+        first = s["number"].isNotNull()
+        return F.struct(s["number"].alias("number"), F.when(first, s["rest"]).otherwise(name).alias("after"))
+
+    def dated(s):
+        return F.when(s["after"].rlike(year), F.struct(F.regexp_extract(s["after"], year, 1).cast("int").alias("year"), F.regexp_extract(s["after"], year, 2).alias("then")))
+
+    def details(last, named, front, date, behind):
+        then = F.when(date.isNotNull(), date["then"]).otherwise(front["after"])
+        rest = F.when(behind["number"].isNotNull(), behind["rest"]).otherwise(then)
+        return F.struct(
+            F.when(named["has"], tidy(F.regexp_extract(last, narrated, 2))).alias("narrator"),
+            F.coalesce(front["number"], behind["number"]).alias("series_index"),
+            date["year"].alias("year"),
+            F.coalesce(tidy(rest), tidy(named["name"])).alias("title"),
             F.when(n > 1, tidy(F.get(parts, F.lit(0)))).alias("author"),
             F.when(n > 2, tidy(F.get(parts, n - 2))).alias("series"),
-        ),
-    )
+        )
+
+    def by_date(last, named, front, date):
+        return bound(F.when(front["number"].isNull() & date.isNotNull(), numbered(date["then"])), lambda behind: details(last, named, front, date, behind))
+
+    def by_front(last, named, front):
+        return bound(dated(front), lambda date: by_date(last, named, front, date))
+
+    def by_name(last, named):
+        volumes = F.when(~named["name"].rlike(year), numbered(named["name"]))
+        return bound(bound(volumes, lambda s: in_front(s, named["name"])), lambda front: by_front(last, named, front))
+
+    def by_last(last):
+        has = last.rlike(narrated)
+        name = F.when(has, F.rtrim(F.regexp_extract(last, narrated, 1))).otherwise(last)
+        return bound(F.struct(has.alias("has"), name.alias("name")), lambda named: by_name(last, named))
+
+    return F.when(n > 0, bound(F.trim(F.element_at(parts, -1)), by_last))
 
 
 def split_title_by_author(c: Column) -> Column:
