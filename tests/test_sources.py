@@ -119,3 +119,12 @@ def test_containers(spark, tmp_path):
     assert set(got) == {"a.DSF", "b.m4a"} and got["a.DSF"].title == "Song" and got["a.DSF"].duration_ms == 1000
     assert [c.title for c in got["b.m4a"].chapters] == ["One", "Two"]
     assert media.books_of(files).count() == 1
+
+
+def test_a_feed_is_read_once(spark):
+    item = "<item><title>A &amp; B</title><guid>g</guid><enclosure url='https://x/{}' type='{}'/></item>"
+    text = "<rss>" + item.format(0, "video/mp4") + item.format(1, "audio/mpeg") + item.format(2, "audio/mpeg") + "</rss>"
+    df = feeds.feed_items(spark.createDataFrame([(1, text)], "feed_id long, text string"))
+    assert [(r.guid, r.pos, r.title, r.enclosure_url) for r in df.collect()] == [("g", 1, "A & B", "https://x/1")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("item|entry") == 1 and plan.count("<enclosure") == 1  # before: a second reading for the first of each guid

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonearm.functions.names import bound
 from tonearm.functions.text import duration_ms, repaired_xml, xml_escape, xml_unescape
 
 ITEMS_MOST = 10_000
@@ -32,11 +33,14 @@ def decoded(content):
 
 def _tag(block, name: str):
     """Text of the first <name> in a block, CDATA unwrapped, entities read; null if blank."""
-    raw = F.regexp_extract(block, rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}\s*>", 1)
     cdata = r"(?s)^\s*<!\[CDATA\[(.*?)(?:\]\]>)?\s*$"
-    kept = F.replace(F.regexp_extract(raw, cdata, 1), F.lit("&amp;"), F.lit("&"))  # the repair escaped bare ampersands here too
-    text = F.trim(F.when(raw.rlike(cdata), kept).otherwise(xml_unescape(raw)))
-    return F.nullif(text, F.lit(""))
+
+    def text(raw):
+        kept = F.replace(F.regexp_extract(raw, cdata, 1), F.lit("&amp;"), F.lit("&"))  # the repair escaped bare ampersands here too
+        return F.trim(F.when(raw.rlike(cdata), kept).otherwise(xml_unescape(raw)))
+
+    raw = F.regexp_extract(block, rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}\s*>", 1)
+    return bound(bound(raw, text), lambda t: F.when(t != "", t))
 
 
 def feed_items(feeds: DataFrame) -> DataFrame:
@@ -50,16 +54,19 @@ def feed_items(feeds: DataFrame) -> DataFrame:
     item = feeds.select("feed_id", F.posexplode(blocks).alias("pos", "b"))
     enclosure = F.regexp_extract("b", r"(?is)<enclosure\s[^>]*>", 0)
     link = F.regexp_extract("b", r"""(?is)<link\s[^>]*rel=["']enclosure["'][^>]*>""", 0)
-    tag = F.when(enclosure != "", enclosure).otherwise(link)
-    attr = lambda names: xml_unescape(F.regexp_extract(tag, rf"""(?is)\s(?:{names})\s*=\s*["']([^"']*)["']""", 1))
-    url, mime = F.trim(attr("url|href")), F.lower(attr("type"))
-    rows = item.select(
-        "feed_id", "pos", F.coalesce(_tag(F.col("b"), "guid"), _tag(F.col("b"), "id"), url).alias("guid"), _tag(F.col("b"), "title").alias("title"), url.alias("enclosure_url"), mime.alias("mime"),
-        _tag(F.col("b"), "(?:pubDate|published|updated)").alias("published"), duration_ms(_tag(F.col("b"), "itunes:duration")).alias("duration_ms"),
-    ).where(F.lower("enclosure_url").rlike("^https?://") & ~F.col("mime").startswith("video/"))
-    first = rows.groupBy("feed_id", "guid").agg(F.min("pos").alias("pos"))
+    tag = bound(enclosure, lambda e: F.when(e != "", e).otherwise(link))
+    attr = lambda t, names: xml_unescape(F.regexp_extract(t, rf"""(?is)\s(?:{names})\s*=\s*["']([^"']*)["']""", 1))
+    media = bound(tag, lambda t: F.struct(F.trim(attr(t, "url|href")).alias("url"), F.lower(attr(t, "type")).alias("mime")))
+    audio = lambda m: F.lower(m["url"]).rlike("^https?://") & ~m["mime"].startswith("video/")
+    read = lambda m: F.struct(
+        F.coalesce(_tag(F.col("b"), "guid"), _tag(F.col("b"), "id"), m["url"]).alias("guid"), _tag(F.col("b"), "title").alias("title"), m["url"].alias("enclosure_url"), m["mime"].alias("mime"),
+        _tag(F.col("b"), "(?:pubDate|published|updated)").alias("published"), bound(_tag(F.col("b"), "itunes:duration"), duration_ms).alias("duration_ms"),
+    )
+    # One generated row, or none: an explode is where Spark neither repeats what made its rows nor moves a filter before it.
+    rows = item.select("feed_id", "pos", F.explode(F.filter(F.array(bound(media, lambda m: F.when(audio(m), read(m)))), lambda e: e.isNotNull())).alias("e"))
+    first = rows.groupBy("feed_id", F.col("e.guid").alias("guid")).agg(F.min_by(F.struct("pos", "e"), "pos").alias("r")).select("feed_id", "guid", "r.pos", *[f"r.e.{c}" for c in ("title", "enclosure_url", "mime", "published", "duration_ms")])
     stamp = F.coalesce(F.expr("try_to_timestamp(regexp_replace(published, '^[A-Za-z]+, *', ''), 'd MMM yyyy HH:mm:ss Z')"), F.expr("try_to_timestamp(published)"))
-    return rows.join(first, ["feed_id", "guid", "pos"], "left_semi").withColumn("published_at", F.unix_millis(stamp)).drop("published")
+    return first.withColumn("published_at", F.unix_millis(stamp)).drop("published")
 
 
 def newest_first(items: DataFrame) -> DataFrame:
