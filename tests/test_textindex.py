@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from pathlib import Path
 
 import pytest
 
@@ -73,3 +74,19 @@ def test_empty(spark):
     assert search(index, "x").count() == 0
     with pytest.raises(ValueError):
         search(index, " ,. ")
+
+
+def test_disk_while_an_index_is_built(spark, tmp_path):
+    """Shuffles, intermediate files and the index together stay near the size of the table; they were nine times this one."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+    docs = [(i, " ".join(rng.choice(words[: rng.choice([50, 1000, 20_000])]) for _ in range(rng.choice([20, 200, 600])))) for i in range(3000)]
+    spark.createDataFrame(docs, "id long, t string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    local = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    folders = [*local, spark.conf.get("spark.checkpoint.dir").removeprefix("file://")]
+    files = lambda top: {p: p.stat().st_size for d in top for p in Path(d).rglob("*") if p.is_file()}
+    before = files(folders)
+    index = built(spark.read.parquet(f"{tmp_path}/docs"), "id", "t")
+    made = sum(n for p, n in files(folders).items() if p not in before)
+    assert made < 3 * sum(files([tmp_path]).values())
+    assert index.totals() == (3000, sum(len(t.split()) for _, t in docs) / 3000)
