@@ -102,11 +102,12 @@ def add(index: TextIndex, docs: DataFrame, id_col: str, text: str) -> None:
     at = f"{index.path}/postings/{path}"
     rows.write.option("compression", "zstd").partitionBy("range").parquet(at)
     stored = index.spark.read.schema(rows.schema).parquet(at)
-    ends = stored.agg(F.min("term").alias("first"), F.max("term").alias("last"), F.sum("tf").alias("words")).first()
-    bound = lambda ends: F.element_at(F.array(*map(F.lit, ends)), F.col("range") + 1)
-    files = stored.select(F.col("_metadata.file_path").alias("file"), "range").distinct()
+    total = stored.agg(F.sum("tf").alias("words")).first()["words"] or 0
+    ends = stored.where(F.col("range").isin(0, len(limits))).agg(F.min("term").alias("first"), F.max("term").alias("last")).first()
+    files = index.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(at).select(F.col("path").alias("file"))  # names only
+    bound = lambda ends: F.element_at(F.array(*map(F.lit, ends)), F.regexp_extract("file", r"/range=(\d+)/[^/]*$", 1).cast("int") + 1)
     files.select("file", bound([ends["first"], *limits]).alias("first"), bound([*limits, ends["last"]]).alias("last")).coalesce(1).write.mode("append").parquet(f"{index.path}/manifest")
-    index.spark.createDataFrame([(n, ends["words"] or 0)], "docs long, words long").coalesce(1).write.mode("append").parquet(f"{index.path}/totals")
+    index.spark.createDataFrame([(n, total)], "docs long, words long").coalesce(1).write.mode("append").parquet(f"{index.path}/totals")
 
 
 def _score(idf: Column, tf: Column, length: Column, mean: float, k1: float, b: float) -> Column:
